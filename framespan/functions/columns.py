@@ -67,6 +67,11 @@ def clamp(c: Column, low: float | None = None, high: float | None = None) -> Col
     return c
 
 
+def epoch_micros(ts: ColumnLike) -> Column:
+    """Microseconds since 1970 of the wall clock, for timestamps with or without time zone."""
+    return F.unix_micros(F.from_utc_timestamp(col(ts).cast("timestamp"), F.current_timezone()))
+
+
 # --- 3-vectors and 3x3 matrices as arrays (row-major) -------------------------------------
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ROTATION_TYPE = "struct<r:array<double>,trace:double,rank:int>"
+VECTOR = T.ArrayType(T.DoubleType())
+ROTATION_TYPE = T.StructType(
+    [T.StructField("r", VECTOR), T.StructField("trace", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+)
 
 
 @F.pandas_udf(ROTATION_TYPE)
@@ -40,7 +44,7 @@ def best_rotation(h: pd.Series) -> pd.DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(VECTOR)
 def smallest_eigenvector(c: pd.Series) -> pd.Series:
     """Unit eigenvector of the smallest eigenvalue of symmetric 3x3 matrices (row-major)."""
     mats = np.stack([np.zeros((3, 3)) if m is None else np.asarray(m, dtype=float).reshape(3, 3) for m in c])

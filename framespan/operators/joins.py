@@ -35,3 +35,12 @@ def attach(big: DataFrame, small: DataFrame, by: Sequence[str], rows: int | None
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*by, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distribute rows that several passes will read.
+
+    The passes share this exchange, so the input is computed once; sub-keys keep a hot group from
+    filling one partition, and each pass aggregates partially before its own small exchange.
+    """
+    return df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))

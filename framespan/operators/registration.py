@@ -191,7 +191,7 @@ def robust_sim3(
         down = base * F.when(F.col("_res") > delta, delta / F.col("_res")).otherwise(F.lit(1.0))
         sums = res.groupBy(*by).agg(*_weighted_aggs(down, src, dst), F.sum(huber * base).alias("_now"))
         # weights are normalised before the fit, so only their ratio matters
-        fresh = _solve_weighted(sums.withColumn("w", F.col("w")), by, scale, ["_now"]).select(
+        fresh = _solve_weighted(sums, by, scale, ["_now"]).select(
             *by,
             F.col("s").alias("_s1"),
             F.col("r").alias("_r1"),
@@ -359,7 +359,7 @@ def ransac_sim3(
     by = list(by)
     keyed = pairs.withColumn("_hash", C.hash52(seed, *by, *ids))
     drawn = smallest_n(keyed, by, [F.col("_hash"), *[F.col(i) for i in ids]], 3 * n)
-    order = F.struct("_hash", *ids, *src, *dst)
+    order = F.struct(*dict.fromkeys(["_hash", *ids, *src, *dst]))
     packed = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("_rows"))
     triples = (
         packed.where(F.size("_rows") >= 3)

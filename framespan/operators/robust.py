@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan.functions.columns import clamp, total
-from framespan.operators.joins import attach, group_count
+from framespan.operators.joins import attach, group_count, spread
 from framespan.operators.ranking import quantiles
 
 EPS = 1e-8
@@ -63,6 +63,7 @@ def irls_scale_points(
     groups: int | None = None,
 ) -> DataFrame:
     """Scale s minimising sum |s*src - dst|; starts from the least-squares scale."""
+    pairs = spread(pairs.select(*by, *src, *dst), by)
     cross = total([F.col(a) * F.col(b) for a, b in zip(src, dst)])
     square = total([F.col(a) * F.col(a) for a in src])
     start = pairs.groupBy(*by).agg(
@@ -88,6 +89,7 @@ def irls_scale_depth(
 ) -> DataFrame:
     """Same for depths; starts from the ratio of the means."""
     a, b = F.col(src), F.col(dst)
+    pairs = spread(pairs.select(*by, src, dst), by)
     start = pairs.groupBy(*by).agg(clamp(F.avg(b) / F.avg(a), clamp_min).alias("_s"), F.lit(False).alias("_done"))
     out = _irls(pairs, by, start, lambda s: F.abs(s * a - b), a * b, a * a, iters, stop_tol, clamp_min, groups)
     return out.select(*by, F.col("_s").alias("scale"), F.col("_done").alias("converged"))
@@ -104,6 +106,7 @@ def irls_scale_eval(
 ) -> DataFrame:
     """Evaluation form: always ``iters`` passes, one clamp at the end."""
     a, b = F.col(src), F.col(dst)
+    pairs = spread(pairs.select(*by, src, dst), by)
     start = pairs.groupBy(*by).agg((F.avg(b) / F.avg(a)).alias("_s"), F.lit(False).alias("_done"))
     out = _irls(pairs, by, start, lambda s: F.abs(s * a - b), a * b, a * a, iters, None, None, groups)
     return out.select(*by, clamp(F.col("_s"), final_min).alias("scale"))
@@ -126,6 +129,7 @@ def l1_scale_shift(
     """
     by = list(by)
     a, b = F.col(src), F.col(dst)
+    pairs = spread(pairs.select(*by, src, dst), by)
     rows = group_count(pairs, by) if groups is None else groups
     state = median_ratio(pairs, by, src, dst).select(*by, F.col("scale").alias("_s"), F.lit(0.0).alias("_t"))
     for _ in range(iters):

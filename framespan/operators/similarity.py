@@ -60,6 +60,8 @@ def topk_similar(desc: DataFrame, k: int, by: Sequence[str] = ("scene",), block:
     keys = [*by, "_a", "_b"]
     kinds = dict(desc.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + [f"i {kinds['frame_id']}", f"j {kinds['frame_id']}", "sim double"])
+    # fresh column ids: both sides come from one table
+    left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_topk(k, by), schema)
     best = Window.partitionBy(*by, "i").orderBy(F.desc("sim"), "j")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

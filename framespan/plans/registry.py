@@ -92,7 +92,7 @@ PIXELS_SQL = f"""px AS (
 
 
 def depth_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as depth pairs: prediction and ground truth per supplier, scaled to metres."""
+    """Line items as depth pairs in millimetres: prediction and ground truth per supplier."""
     li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
     joined = li.join(part, li.l_partkey == part.p_partkey)
@@ -101,14 +101,14 @@ def depth_pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").alias("seq"),
         F.col("l_orderkey").alias("frame_id"),
         F.col("l_linenumber").alias("idx"),
-        (F.col("l_extendedprice") / 1000.0).alias("pred"),
-        (F.col("p_retailprice") * (F.col("l_quantity") - 2) / 1000.0).alias("gt"),
+        F.col("l_extendedprice").alias("pred"),
+        (F.col("p_retailprice") * (F.col("l_quantity") - 2)).alias("gt"),
     )
 
 
 PAIRS_SQL = """pairs AS (
   SELECT l_suppkey % 5 AS dataset, l_suppkey AS seq, l_orderkey AS frame_id, l_linenumber AS idx,
-         l_extendedprice / 1000.0 AS pred, p_retailprice * (l_quantity - 2) / 1000.0 AS gt
+         l_extendedprice AS pred, p_retailprice * (l_quantity - 2) AS gt
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
