@@ -184,11 +184,11 @@ def weighted_rollup(spark, sf):
 
 @query(
     "mean_rollup",
-    """WITH m AS (SELECT user_id AS seq, event_type AS dataset, avg(value) AS ate, max(value) AS rpe FROM events WHERE user_id % 3 > 0 GROUP BY 1, 2)
+    """WITH m AS (SELECT user_id AS seq, event_type AS dataset, avg(value) AS ate, max(value) AS rpe FROM events GROUP BY 1, 2)
 SELECT dataset, round(coalesce(avg(ate), 0), 4) AS ate, round(coalesce(avg(rpe), 0), 4) AS rpe, count(*) AS n FROM m GROUP BY dataset""",
 )
 def mean_rollup(spark, sf):
-    m = table(spark, sf, "events").where("user_id % 3 > 0").groupBy(F.col("user_id").alias("seq"), F.col("event_type").alias("dataset")).agg(
+    m = table(spark, sf, "events").groupBy(F.col("user_id").alias("seq"), F.col("event_type").alias("dataset")).agg(
         F.avg("value").alias("ate"), F.max("value").alias("rpe")
     )
     return rounded(M.mean_rollup(m, ["dataset"], ["ate", "rpe"]), ["ate", "rpe"])
@@ -197,14 +197,14 @@ def mean_rollup(spark, sf):
 @query(
     "mean_rollup_by_size",
     """WITH s AS (SELECT event_type AS dataset, count(DISTINCT user_id) AS size FROM events GROUP BY 1),
-m AS (SELECT user_id AS seq, event_type AS dataset, avg(value) AS acc, min(value) AS comp FROM events WHERE user_id % 3 > 0 AND event_type <> 'error' GROUP BY 1, 2)
+m AS (SELECT user_id AS seq, event_type AS dataset, avg(value) AS acc, min(value) AS comp FROM events WHERE value > 15 GROUP BY 1, 2)
 SELECT s.dataset, round(coalesce(sum(acc) / max(size), 0), 4) AS acc, round(coalesce(sum((acc + comp) / 2) / max(size), 0), 4) AS nc, count(acc) AS n
 FROM s LEFT JOIN m USING (dataset) GROUP BY s.dataset""",
 )
 def mean_rollup_by_size(spark, sf):
     ev = table(spark, sf, "events").withColumnRenamed("event_type", "dataset")
     sizes = ev.groupBy("dataset").agg(F.countDistinct("user_id").alias("size"))
-    m = ev.where("user_id % 3 > 0 AND dataset <> 'error'").groupBy(F.col("user_id").alias("seq"), "dataset").agg(
+    m = ev.where("value > 15").groupBy(F.col("user_id").alias("seq"), "dataset").agg(
         F.avg("value").alias("acc"), F.min("value").alias("comp")
     )
     m = m.withColumn("nc", (F.col("acc") + F.col("comp")) / 2)
@@ -224,16 +224,16 @@ def pooled_mean(spark, sf):
 @query(
     "pair_by_sequence",
     """WITH p AS (SELECT 'seq' || source AS seq, 'out/seq' || source || '/frame_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.npy' AS path FROM documents),
-g AS (SELECT 'seq' || source AS seq, 'gt/seq' || source || '_depth/d' || lpad(CAST(doc_id * 3 AS VARCHAR), 8, '0') || '.png' AS path FROM documents WHERE doc_id % 5 < 4),
+g AS (SELECT 'seq' || source AS seq, 'gt/seq' || source || '_depth/d' || lpad(CAST(doc_id * 3 AS VARCHAR), 8, '0') || '.png' AS path FROM documents WHERE n_chars < 2000),
 pr AS (SELECT seq, path, row_number() OVER (PARTITION BY seq ORDER BY path) AS pos FROM p), gr AS (SELECT seq, path, row_number() OVER (PARTITION BY seq ORDER BY path) AS pos FROM g)
 SELECT seq, pos, pr.path AS pred_path, gr.path AS gt_path FROM pr JOIN gr USING (seq, pos)""",
 )
 def pair_by_sequence(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
 
     def name(c):
         return F.lpad(c.cast("string"), 8, "0")
 
     pred = docs.select(F.concat(F.lit("out/seq"), "source", F.lit("/frame_"), name(F.col("doc_id")), F.lit(".npy")).alias("path"))
-    gt = docs.where("doc_id % 5 < 4").select(F.concat(F.lit("gt/seq"), "source", F.lit("_depth/d"), name(F.col("doc_id") * 3), F.lit(".png")).alias("path"))
+    gt = docs.where("n_chars < 2000").select(F.concat(F.lit("gt/seq"), "source", F.lit("_depth/d"), name(F.col("doc_id") * 3), F.lit(".png")).alias("path"))
     return D.pair_by_sequence(pred, gt, strip="_depth$")

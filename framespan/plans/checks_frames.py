@@ -252,17 +252,17 @@ def conf_mask(spark, sf):
 
 @query(
     "mutual_mask",
-    f"""WITH {PIXELS_SQL}, a AS (SELECT * FROM px WHERE frame_id % 2 = 0),
-b AS (SELECT scene, frame_id - 1 AS frame_id, v, u, depth, conf FROM px WHERE frame_id % 2 = 1),
+    f"""WITH {PIXELS_SQL}, a AS (SELECT * FROM px),
+b AS (SELECT scene, frame_id - 1 AS frame_id, v, u, depth, conf FROM px),
 {NEAREST_MASK_SQL.format(by='frame_id', conf='conf', src='a', q=0.5).replace('ranked', 'ra').replace('cut AS (', 'ca AS (')},
 {NEAREST_MASK_SQL.format(by='frame_id', conf='conf', src='b', q=0.5).replace('ranked', 'rb').replace('cut AS (', 'cb AS (')}
-SELECT a.frame_id, a.v, a.u, a.depth FROM a JOIN ca ON a.frame_id = ca.frame_id AND a.conf >= ca.cut
-JOIN b ON a.frame_id = b.frame_id AND a.v = b.v AND a.u = b.u JOIN cb ON b.frame_id = cb.frame_id AND b.conf >= cb.cut""",
+SELECT a.frame_id, a.v, a.u, a.depth FROM a JOIN (SELECT DISTINCT frame_id, cut FROM ca) ca ON a.frame_id = ca.frame_id AND a.conf >= ca.cut
+JOIN b ON a.frame_id = b.frame_id AND a.v = b.v AND a.u = b.u JOIN (SELECT DISTINCT frame_id, cut FROM cb) cb ON b.frame_id = cb.frame_id AND b.conf >= cb.cut""",
 )
 def mutual_mask(spark, sf):
     px = pixels(spark, sf)
-    a = FL.conf_mask(px.where("frame_id % 2 = 0"), 0.5, ["frame_id"])
-    b = FL.conf_mask(px.where("frame_id % 2 = 1").withColumn("frame_id", F.col("frame_id") - 1), 0.5, ["frame_id"])
+    a = FL.conf_mask(px, 0.5, ["frame_id"])
+    b = FL.conf_mask(px.withColumn("frame_id", F.col("frame_id") - 1), 0.5, ["frame_id"])
     return FL.mutual_mask(a, b, ["frame_id", "v", "u"]).select("frame_id", "v", "u", "depth")
 
 

@@ -106,15 +106,15 @@ def dedup_chunk_pairs(spark, sf):
 
 @query(
     "frame_to_chunk",
-    """WITH b AS (SELECT o_custkey AS scene, o_orderkey AS s, o_orderkey + 400 AS e FROM orders WHERE o_orderkey % 3 = 0),
-q AS (SELECT DISTINCT o_custkey AS scene, o_orderkey AS idx FROM orders WHERE o_orderkey % 3 = 1),
+    """WITH b AS (SELECT o_custkey AS scene, o_orderkey AS s, o_orderkey + 400 AS e FROM orders),
+q AS (SELECT DISTINCT o_custkey AS scene, o_orderkey + 37 AS idx FROM orders),
 h AS (SELECT q.scene, q.idx, max(b.s) AS s FROM q LEFT JOIN b ON b.scene = q.scene AND b.s <= q.idx GROUP BY 1, 2)
 SELECT scene, idx, CASE WHEN s + 400 > idx THEN s END AS chunk FROM h""",
 )
 def frame_to_chunk(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("idx"))
-    bounds = o.where("idx % 3 = 0").select("scene", F.col("idx").alias("chunk"), F.col("idx").alias("start"), (F.col("idx") + 400).alias("end"))
-    return L.frame_to_chunk(o.where("idx % 3 = 1").distinct(), bounds, "idx").select("scene", "idx", "chunk")
+    bounds = o.select("scene", F.col("idx").alias("chunk"), F.col("idx").alias("start"), (F.col("idx") + 400).alias("end"))
+    return L.frame_to_chunk(o.withColumn("idx", F.col("idx") + 37).distinct(), bounds, "idx").select("scene", "idx", "chunk")
 
 
 @query(

@@ -358,8 +358,8 @@ def trajectories(spark, sf):
 
 @query(
     "associate",
-    """WITH r AS (SELECT user_id AS seq, epoch_us(ts) / 1e6 AS ts FROM events WHERE event_id % 2 = 0),
-e AS (SELECT user_id AS seq, epoch_us(ts) / 1e6 + 5000 AS ts FROM events WHERE event_id % 3 = 0),
+    """WITH r AS (SELECT user_id AS seq, epoch_us(ts) / 1e6 AS ts FROM events),
+e AS (SELECT user_id AS seq, epoch_us(ts) / 1e6 + 5000 AS ts FROM events),
 a AS (SELECT e.seq, e.ts AS est_ts, r.ts AS ref_ts FROM e ASOF JOIN r ON e.seq = r.seq AND e.ts >= r.ts),
 b AS (SELECT e.seq, e.ts AS est_ts, r.ts AS ref_ts FROM e ASOF JOIN r ON e.seq = r.seq AND e.ts <= r.ts),
 u AS (SELECT seq, est_ts, ref_ts, row_number() OVER (PARTITION BY seq, est_ts ORDER BY abs(est_ts - ref_ts), ref_ts) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
@@ -367,8 +367,7 @@ SELECT seq, round(est_ts, 5) AS est_ts, round(ref_ts, 5) AS ref_ts FROM u WHERE
 )
 def associate(spark, sf):
     ev = table(spark, sf, "events").select(F.col("user_id").alias("seq"), "event_id", (C.epoch_micros("ts") / 1e6).alias("ts"))
-    ref, est = ev.where("event_id % 2 = 0"), ev.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + 5000)
-    out = TR.associate(ref, est, 4000.0)
+    out = TR.associate(ev, ev.withColumn("ts", F.col("ts") + 5000), 4000.0)
     return out.select("seq", F.round("est_ts", 5).alias("est_ts"), F.round("ref_ts", 5).alias("ref_ts"))
 
 
