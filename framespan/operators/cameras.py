@@ -111,7 +111,7 @@ def reproject(observations: DataFrame, points: DataFrame, cams: DataFrame, scene
     return shown.withColumn("error", error)
 
 
-def undistort(tracks: DataFrame, cams: DataFrame, by: Sequence[str], rounds: int = 20) -> DataFrame:
+def undistort(tracks: DataFrame, cams: DataFrame, by: Sequence[str], rounds: int = 12) -> DataFrame:
     """Pixel tracks (ox, oy) to undistorted normalised coordinates (nu, nv)."""
     joined = attach(tracks, cams, by)
     u, v = (F.col("ox") - F.col("cx")) / F.col("fx"), (F.col("oy") - F.col("cy")) / F.col("fy")

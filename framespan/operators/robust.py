@@ -1,8 +1,9 @@
 """Robust scale estimation by iteratively reweighted least squares, for all groups at once.
 
 Each pass is one aggregation over the pairs joined with the current per-group scale. The three
-forms differ on purpose (start value, stop rule, clamp). Passes are unrolled into one plan: no
-driver loop over results and nothing to lose with an executor.
+forms differ on purpose (start value, stop rule, clamp). A few passes are unrolled into one plan,
+where they share one exchange of the pairs; then the state (one row per group) goes to the
+checkpoint folder, and the loop ends early once every group has settled.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from framespan.functions.columns import clamp, total
 from framespan.operators.joins import attach, group_count, spread
 from framespan.operators.ranking import quantiles
+from framespan.session import cut
 
 EPS = 1e-8
+PASSES_PER_JOB = 3
 
 
 def _irls(
@@ -34,7 +37,7 @@ def _irls(
     by = list(by)
     rows = group_count(pairs, by) if groups is None else groups
     state = start
-    for _ in range(iters):
+    for done in range(1, iters + 1):
         weight = 1.0 / (residual(F.col("_s")) + EPS)
         sums = attach(pairs, state, by, rows).groupBy(*by).agg(
             F.sum(weight * cross).alias("_num"),
@@ -49,6 +52,10 @@ def _irls(
             F.when(F.col("_frozen"), F.col("_old")).otherwise(fresh).alias("_s"),
             (F.col("_frozen") | stop).alias("_done"),
         )
+        if done % PASSES_PER_JOB == 0 and done < iters:
+            state = cut(state)
+            if stop_tol is not None and state.where(~F.col("_done")).isEmpty():
+                break
     return state
 
 
@@ -132,7 +139,7 @@ def l1_scale_shift(
     pairs = spread(pairs.select(*by, src, dst), by)
     rows = group_count(pairs, by) if groups is None else groups
     state = median_ratio(pairs, by, src, dst).select(*by, F.col("scale").alias("_s"), F.lit(0.0).alias("_t"))
-    for _ in range(iters):
+    for done in range(1, iters + 1):
         w = 1.0 / (F.abs(F.col("_s") * a + F.col("_t") - b) + EPS)
         sums = attach(pairs, state, by, rows).groupBy(*by).agg(
             F.sum(w).alias("_w"),
@@ -152,6 +159,8 @@ def l1_scale_shift(
             F.when(flat, F.col("_olds")).otherwise(s).alias("_s"),
             F.when(flat, F.col("_oldt")).otherwise(t).alias("_t"),
         )
+        if done % PASSES_PER_JOB == 0 and done < iters:
+            state = cut(state)
     return state.select(*by, F.col("_s").alias("scale"), F.col("_t").alias("shift"))
 
 
