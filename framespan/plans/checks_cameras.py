@@ -305,14 +305,14 @@ def reproject(spark, sf):
 
 @query(
     "observations",
-    f"""WITH {OBS_SQL}, il AS (SELECT * FROM er WHERE error < 2.5), fr AS (SELECT cm.scene, cm.frame_id, count(track_id) AS n FROM cm LEFT JOIN il ON il.scene = cm.scene AND il.frame_id = cm.frame_id GROUP BY 1, 2),
+    f"""WITH {OBS_SQL}, il AS (SELECT * FROM er WHERE error < 2.47), fr AS (SELECT cm.scene, cm.frame_id, count(track_id) AS n FROM cm LEFT JOIN il ON il.scene = cm.scene AND il.frame_id = cm.frame_id GROUP BY 1, 2),
 ok AS (SELECT scene FROM fr GROUP BY 1 HAVING min(n) >= 20), us AS (SELECT * FROM il WHERE scene IN (SELECT scene FROM ok)),
 tr AS (SELECT scene, track_id, row_number() OVER (PARTITION BY scene ORDER BY track_id) AS point_id FROM us GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT us.scene, us.frame_id + 1 AS image_id, row_number() OVER (PARTITION BY us.scene, us.frame_id ORDER BY point_id) - 1 AS point2d_idx, round(ox, 5) AS ox, round(oy, 5) AS oy, point_id FROM us JOIN tr USING (scene, track_id)""",
 )
 def observations(spark, sf):
     obs, pts, cams = observation_inputs(spark, sf)
-    out = TK.observations(obs, pts, cams, max_error=2.5, min_per_frame=20)["observations"]
+    out = TK.observations(obs, pts, cams, max_error=2.47, min_per_frame=20)["observations"]
     return out.select("scene", "image_id", "point2d_idx", F.round("ox", 5).alias("ox"), F.round("oy", 5).alias("oy"), "point_id")
 
 
