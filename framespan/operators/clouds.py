@@ -15,7 +15,7 @@ from framespan.operators.ranking import quantiles, smallest_n
 from framespan.session import cut
 
 AXES = ("x", "y", "z")
-LEAF = 64
+LEAF = 32
 FAN = 4  # each cell splits into FAN^3 children
 MAX_LEVELS = 8
 
@@ -95,7 +95,9 @@ def knn(
         levels += 1
     cells = [f"c{a}" for a in AXES]
     limit = F.lit(float("inf")) if radius is None else F.lit(float(radius) ** 2)
-    points = query.select(*by, "pid", *[F.col(a).alias(f"q{a}") for a in AXES])
+    # coincident query points are searched once and share the answer
+    reps = query.groupBy(*by, *AXES).agg(F.min("pid").alias("_rep"))
+    points = reps.select(*by, F.col("_rep").alias("pid"), *[F.col(a).alias(f"q{a}") for a in AXES])
     points = attach(points, cubes, by, groups).withColumn("_bound", limit)
     root = F.array(F.struct(*[F.lit(0).cast("long").alias(c) for c in cells]))
     front = points.withColumn("_cells", root)
@@ -141,10 +143,12 @@ def knn(
     else:
         gathered = hits.groupBy(*by, "pid").agg(F.slice(F.array_sort(F.collect_list(hit)), 1, k).alias("_hs"))
         best = gathered.select(*by, "pid", F.posexplode("_hs").alias("_at", "_h")).withColumn("rank", F.col("_at") + 1)
-    return best.select(
-        *by, "pid", "rank", F.col("_h.ref_pid").alias("ref_pid"), F.sqrt("_h._d2").alias("distance"),
+    answer = best.select(
+        *by, F.col("pid").alias("_rep"), "rank", F.col("_h.ref_pid").alias("ref_pid"), F.sqrt("_h._d2").alias("distance"),
         *[F.col(f"_h.ref_{a}").alias(f"ref_{a}") for a in AXES], *[F.col(f"_h.ref_{p}").alias(f"ref_{p}") for p in payload],
     )
+    members = query.select(*by, "pid", *AXES).join(reps, [*by, *AXES]).select(*by, "pid", "_rep")
+    return members.join(answer, [*by, "_rep"]).drop("_rep")
 
 
 def nearest(query: DataFrame, ref: DataFrame, by: Sequence[str] = (), payload: Sequence[str] = (), radius: float | None = None) -> DataFrame:
