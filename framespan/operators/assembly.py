@@ -49,6 +49,8 @@ def register_pairs(
     kept = mutual_mask(
         cur.select(*keys, *[F.col(a).alias(f"s{a}") for a in XYZ], "mask"), prev.select(*keys, "mask"), keys
     ).join(prev_px.select(*keys, *[F.col(a).alias(f"d{a}") for a in XYZ]), keys)
+    # read by every pass of the scale and by the fit: write the confident overlap once
+    kept = cut(kept)
     scales = irls_scale_points(kept, by)
     if method == "points":
         return RG.register_points(kept, by, scales)
@@ -110,7 +112,7 @@ def assemble(
     """
     by = list(by)
     keys = [*by, "window_id"]
-    chained = accumulate_sim3(relative.select(*keys, "sim3"), by, "window_id")
+    chained = accumulate_sim3(cut(relative.select(*keys, "sim3")), by, "window_id")
     chained = chained.select(*keys, F.col("total").alias("sim3"), (F.col("total.s") / F.col("sim3.s")).alias("_before"))
     placed = apply_to_poses(merge_windows(poses, overlap), chained, keys)
     scaled = attach(merge_windows(px, overlap), chained.select(*keys, F.col("sim3.s").alias("_s"), "_before"), keys)

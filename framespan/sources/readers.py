@@ -251,6 +251,11 @@ def scan_metric_reports(spark: SparkSession, path: str) -> DataFrame:
     """(seq, ate, rpe_trans, rpe_rot) of ``*_metric.txt`` reports; a missing section counts as 0."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_metric.txt").text(path, wholetext=True)
     whole = whole.select(F.regexp_replace(basename(F.col("_metadata.file_path")), "_eval_metric.txt$", "").alias("seq"), "value")
+    return parse_metric_reports(whole)
+
+
+def parse_metric_reports(whole: DataFrame) -> DataFrame:
+    """Metrics from report texts (seq, value)."""
 
     def value(section: str) -> Column:
         found = F.regexp_extract("value", rf"(?s){section}.*?rmse\s+([0-9.]+)", 1)
