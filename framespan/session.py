@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,8 @@ def local_session(cores: int | None = None, name: str = "framespan", **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session (``spark.checkpoint.dir``).
 
-    Only a local session without the setting gets a temporary folder; on a cluster a
-    machine-local folder would not survive the loss of an executor, so that is refused.
+    Only a session inside one process (``local[n]``) without the setting gets a temporary folder;
+    on a cluster a machine-local folder would not survive the loss of an executor, so that is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="framespan-cp-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
