@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framespan.session import cut, ensure_checkpoint_dir
 
-__all__ = ["cut", "scratch", "stored", "remove", "row_key", "words_of", "mix64", "sorted_groups", "components", "block_pairs"]
+__all__ = ["cut", "scratch", "stored", "remove", "row_key", "packed", "unpacked", "words_of", "mix64", "sorted_groups", "components", "block_pairs"]
 
 #: Bytes that separate words become spaces, A-Z become a-z; every byte of a non-ASCII character stays.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -53,6 +53,23 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *columns).alias(name) for seed, name in ((1, "_k0"), (2, "_k1"))]
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_t, _rest, _k0, _k1): the text, all other columns as one struct, and the row key.
+
+    Whatever the other columns are called, they cannot clash with names that an operator uses inside.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("_none")]
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(text.alias("_t"), F.struct(*rest).alias("_rest"), *row_key(F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))))
+
+
+def unpacked(df: DataFrame, columns: list[str], text_col: str, **results: Column) -> DataFrame:
+    """Undo ``packed``: the columns in their order, then ``results``, which replace columns of the same name."""
+    kept = [c for c in columns if c not in results]
+    back = [F.col("_t").alias(c) if c == text_col else F.col("_rest").getField(c).alias(c) for c in kept]
+    return df.select(*back, *[value.alias(name) for name, value in results.items()])
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Yield one table per run of equal (non-null, integer) ``keys`` of a partition sorted by them.
 

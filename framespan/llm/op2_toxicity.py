@@ -10,7 +10,8 @@ hashed before, in parallel. Scoring covers every document and needs no shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the bias; labels that are
 null or not 0/1, and labelled ids without a document, teach nothing; without any usable label the score
-is 0 for every document; rows repeated in full get equal scores; other columns are never read.
+is 0 for every document; rows repeated in full get equal scores; other columns pass through unread, but for
+one named ``score``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framespan.llm.common import cut, mix64, words_of
+from framespan.llm.common import cut, mix64, packed, unpacked, words_of
 
 BITS = 22
 #: Bound of the training sample, in documents.
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return cut(repeated.repartition(1).sortWithinPartitions("turn", "place").select("words", "pairs", "label").mapInArrow(_train, "at long, weight double"))
 
 
-def _score(model, text_at: int):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, weight = model.value
         dense = np.zeros((1 << BITS) + 1, np.float32)
@@ -132,23 +134,23 @@ def _score(model, text_at: int):
         bias = float(dense[-1])
         for batch in batches:
             scores = []
-            for text in batch.column(text_at):
+            for text in batch.column(0):
                 words, pairs = hashed(text.as_py())
                 found, value = distinct(words[dense[words] != 0], pairs[dense[pairs] != 0])
                 total = float((dense[found] * value).sum()) + bias
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["_t", "_rest", "_score"])
 
     return run
 
 
-def score(docs: DataFrame, weights: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_score``. At most 2^22 weights exist, so their broadcast is bounded."""
+def score(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``score``. At most 2^22 weights exist, so their broadcast is bounded."""
     rows = weights.toPandas()
     model = docs.sparkSession.sparkContext.broadcast((rows["at"].to_numpy(np.int64), rows["weight"].to_numpy(np.float32)))
-    plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(_score(model, plain.columns.index(text_col)), f"{fields}, _score double")
+    plain = packed(docs, id_col, text_col).select("_t", "_rest")
+    schema = T.StructType([*plain.schema, T.StructField("_score", T.DoubleType())])
+    return unpacked(plain.mapInArrow(_score(model), schema), docs.columns, text_col, score=F.col("_score"))
 
 
 def held_out(id_column: Column) -> Column:
@@ -159,10 +161,10 @@ def held_out(id_column: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **training) -> DataFrame:
     """Per document: id, held_out, score, predicted."""
     weights = train(docs, labels, id_col, text_col, learn_from=~held_out(F.col("_id")), **training)
-    scored = score(docs.select(id_col, text_col), weights, text_col)
+    scored = score(docs.select(id_col, text_col), weights, id_col, text_col)
     return scored.select(
         id_col,
         held_out(F.col(id_col)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

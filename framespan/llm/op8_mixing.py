@@ -16,7 +16,7 @@ document is placed exactly once and within each phase the deviation bound holds.
 
 Defined results: a null source is a source of its own; a null or empty text takes one character; a source
 without a target weight gets ``default_weight``; rows repeated in full share one place; an empty table
-gives an empty result; other columns pass through.
+gives an empty result; other columns pass through, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -116,10 +116,10 @@ def _local_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], names=[*batch.schema.names, "_local"])
 
 
-def keyed(docs: DataFrame, source_col: str, id_col: str, text_col: str) -> DataFrame:
+def source_and_key(source_col: str, id_col: str, text_col: str) -> list:
+    """The source as text (a null source is told from the word) as _s, and the row key."""
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    key = row_key(F.col(id_col), source, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.select("*", *key, source.alias("_s"))
+    return [source.alias("_s"), *row_key(F.col(id_col), source, F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, default_weight: int = 1, alpha: float = 0.5, seed: int = 8) -> DataFrame:
@@ -131,7 +131,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_c
     """
     spark = docs.sparkSession
     length = F.greatest(F.lit(1), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(1))).cast("long")
-    units = keyed(docs, source_col, id_col, text_col).groupBy("_s", "_k0", "_k1").agg(F.count("*").alias("_n"), F.sum(length).alias("_len"))
+    units = docs.select(length.alias("_c"), *source_and_key(source_col, id_col, text_col)).groupBy("_s", "_k0", "_k1").agg(F.count("*").alias("_n"), F.sum("_c").alias("_len"))
     units = cut(units.withColumn("_r", F.xxhash64(F.lit(seed), "_k0")))
     order = ["_s", "_r", "_k0", "_k1"]
     dealt = units.repartitionByRange(*order).sortWithinPartitions(*order).select("_s", "_k0", "_k1", "_n", "_len", F.spark_partition_id().alias("_part"))
@@ -157,7 +157,9 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_c
 
 
 def mix(docs: DataFrame, *args, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_block``, ``_slot`` and ``_offset``; sorted by (_slot, _offset) they are the mixture."""
+    """All rows and columns of ``docs`` with ``block``, ``slot`` and ``offset``; sorted by (slot, offset) they are the mixture."""
     places = cut(schedule(docs, *args, source_col=source_col, id_col=id_col, text_col=text_col, **more))
-    places = places.select("_k0", "_k1", F.col("block").alias("_block"), F.col("slot").alias("_slot"), F.col("offset").alias("_offset"))
-    return keyed(docs, source_col, id_col, text_col).join(places.hint("shuffle_hash"), ["_k0", "_k1"]).select(*docs.columns, "_block", "_slot", "_offset")
+    kept = [c for c in docs.columns if c not in ("block", "slot", "offset")]
+    rows = docs.select(F.struct("*").alias("_row"), *source_and_key(source_col, id_col, text_col))
+    joined = rows.join(places.hint("shuffle_hash"), ["_k0", "_k1"])
+    return joined.select(*[F.col("_row").getField(c).alias(c) for c in kept], "block", "slot", "offset")

@@ -11,7 +11,8 @@ lines it keeps. Text is touched again only where a caller applies the bitmaps.
 
 Defined results: a null or empty text is one empty line; lines whose key is empty always stay; a row
 repeated in full is one document; equal ids with different texts are different documents; a null id is
-a document like any other; an empty table gives an empty result; further columns pass through.
+a document like any other; an empty table gives an empty result; further columns pass
+through, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framespan.llm.common import cut, row_key
+from framespan.llm.common import cut, packed, row_key, unpacked
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -126,41 +128,34 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return places.mapInArrow(_to_bitmaps, "_k0 long, _k1 long, keep binary")
 
 
-def _apply(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts, n_lines, n_dropped = [], [], []
-            for text, packed in zip(batch.column(text_at), batch.column(len(names) - 1)):
-                text, packed = text.as_py(), packed.as_py()
-                lines = (text or "").split("\n")
-                n_lines.append(len(lines))
-                if packed is None:
-                    texts.append(text)
-                    n_dropped.append(0)
-                    continue
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
-                kept = [line for i, line in enumerate(lines) if i >= len(bits) or bits[i]]
-                texts.append("\n".join(kept))
-                n_dropped.append(len(lines) - len(kept))
-            columns = [*batch.columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*names[:-1], "_n_lines", "_n_dropped"])
-
-    return run
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, n_lines, n_dropped = [], [], []
+        for text, packed_bits in zip(batch.column(0), batch.column(2)):
+            text, packed_bits = text.as_py(), packed_bits.as_py()
+            lines = (text or "").split("\n")
+            n_lines.append(len(lines))
+            if packed_bits is None:
+                texts.append(text)
+                n_dropped.append(0)
+                continue
+            bits = np.unpackbits(np.frombuffer(zlib.decompress(packed_bits), np.uint8))
+            kept = [line for i, line in enumerate(lines) if i >= len(bits) or bits[i]]
+            texts.append("\n".join(kept))
+            n_dropped.append(len(lines) - len(kept))
+        columns = [pa.array(texts, pa.string()), batch.column(1), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_t", "_rest", "_lines", "_dropped"])
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents without frequent lines: all columns, the text cut, and ``_n_lines``, ``_n_dropped``.
+    """The documents without frequent lines: all columns, the text cut, and ``n_lines``, ``n_dropped``.
 
     The bitmaps are joined by row key, so a text moves once and no text is compared with another.
     """
     bitmaps = cut(keep_bitmaps(docs, id_col, text_col, min_docs, min_chars))
-    plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    keyed = plain.select("*", *row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(bitmaps.hint("shuffle_hash"), ["_k0", "_k1"], "left").select(*plain.columns, "keep")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return joined.mapInArrow(_apply(plain.columns.index(text_col)), f"{fields}, _n_lines long, _n_dropped long")
+    joined = packed(docs, id_col, text_col).join(bitmaps.hint("shuffle_hash"), ["_k0", "_k1"], "left").select("_t", "_rest", "keep")
+    schema = T.StructType([*joined.select("_t", "_rest").schema, T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())])
+    return unpacked(joined.mapInArrow(_apply, schema), docs.columns, text_col, n_lines=F.col("_lines"), n_dropped=F.col("_dropped"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -169,7 +164,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cleaned = drop_lines(narrow, id_col, text_col, min_docs, min_chars)
     return cleaned.select(
         id_col,
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("kept_sha256"),
     )

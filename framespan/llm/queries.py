@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framespan.llm import op2_toxicity, op4_ngram_join, op6_decontaminate, op8_mixing, op9_line_dedup
+from framespan.llm import (
+    op1_secrets,
+    op2_toxicity,
+    op3_embedding_dedup,
+    op4_ngram_join,
+    op5_sentence_spans,
+    op6_decontaminate,
+    op7_html_trees,
+    op8_mixing,
+    op9_line_dedup,
+    op10_warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,17 +39,46 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_secrets", op1_secrets.report_sql())
+def secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return op1_secrets.report(op1_secrets.scan(table(spark, sf, "documents"))).withColumnRenamed("path", "doc_id")
+
+
 @query("op2_toxicity")
 def toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return op2_toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+         AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(v.vec_id, m), v.vec_id) AS component_id, coalesce(least(v.vec_id, m), v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN least ON v.vec_id = least.vec_id LEFT JOIN n ON v.vec_id = n.vec_id
+"""
+
+
+@query("op3_embedding_dedup", OP3_SQL)
+def embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return op3_embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op4_ngram_join")
 def ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     links = op4_ngram_join.join(table(spark, sf, "documents"))
     return links.select(F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", "kept")
 
 
+@query("op5_sentence_spans")
+def sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return op5_sentence_spans.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -66,10 +106,15 @@ def decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("_k0", "_k1")
 
 
+@query("op7_html_trees")
+def html_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return op7_html_trees.main_text(table(spark, sf, "pages"))
+
+
 @query("op8_mixing")
 def mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    keyed = op8_mixing.keyed(docs, "source", "doc_id", "text").select("doc_id", "source", "_k0", "_k1")
+    keyed = docs.select("doc_id", "source", *op8_mixing.source_and_key("source", "doc_id", "text"))
     return keyed.join(op8_mixing.schedule(docs), ["_k0", "_k1"]).select("doc_id", "source", "block", "slot", "offset")
 
 
@@ -89,3 +134,18 @@ FROM marked GROUP BY doc_id
 @query("op9_line_dedup", OP9_SQL)
 def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return op9_line_dedup.line_report(table(spark, sf, "documents"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, n, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def warc(spark: SparkSession, sf: str) -> DataFrame:
+    return op10_warc.archive(table(spark, sf, "pages"))
