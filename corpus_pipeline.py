@@ -16,40 +16,40 @@ from framespan.llm.common import row_key
 from framespan.session import ensure_checkpoint_dir
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *row_key(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+def _without(docs: DataFrame, lost: DataFrame, once: bool = False) -> DataFrame:
+    """The documents whose row key is not among ``lost``; ``once`` keeps one of rows repeated in full."""
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    kept = keyed.join(lost.select("_k0", "_k1").hint("shuffle_hash"), ["_k0", "_k1"], "left_anti")
+    return (kept.dropDuplicates(["_k0", "_k1"]) if once else kept).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents scored as toxic; the model learns from labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = op2_toxicity.train(docs, labels, learn_from=~op2_toxicity.held_out(F.col("_id")))
-    return op2_toxicity.score(docs, weights).where(F.col("_score") < op2_toxicity.THRESHOLD).drop("_score")
+    return op2_toxicity.score(docs, weights).where(F.col("score") < op2_toxicity.THRESHOLD).drop("score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines that ten documents or more share; a document stays, with the length of what is left."""
-    cleaned = op9_line_dedup.drop_lines(docs).drop("_n_lines", "_n_dropped")
+    cleaned = op9_line_dedup.drop_lines(docs).drop("n_lines", "n_dropped")
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest id."""
-    lost = op4_ngram_join.join(docs).where("not kept").select("_k0", "_k1")
-    return _keyed(docs).join(lost, ["_k0", "_k1"], "left_anti").dropDuplicates(["_k0", "_k1"]).drop("_k0", "_k1")
+    return _without(docs, op4_ngram_join.join(docs).where("not kept"), once=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the benchmark contaminates."""
     found = op6_decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    lost = found.where("contaminated").select("_k0", "_k1")
-    return _keyed(docs).join(lost, ["_k0", "_k1"], "left_anti").drop("_k0", "_k1")
+    return _without(docs, found.where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place every document in the mixture: columns of documents, and block, slot and offset."""
-    mixed = op8_mixing.mix(docs)
-    return mixed.withColumnsRenamed({"_block": "block", "_slot": "slot", "_offset": "offset"})
+    return op8_mixing.mix(docs)
 
 
 STAGES = [
