@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from framespan.llm.common import block_pairs, components, cut, mix64, remove, row_key, sorted_groups, stored, words_of
 
@@ -41,7 +41,8 @@ SMALL = 64
 #: Documents of one block in brute force on sketches, and set tokens of one block in exact comparison.
 SKETCH_BLOCK, EXACT_TOKENS, EXACT_DOCS = 1000, 400_000, 400
 #: Bits of a sketch; a pair is likely if its estimate is within SLACK standard errors of the threshold.
-SKETCH_BITS, SLACK = 256, 5.0
+SKETCH_LOG, SLACK = 7, 5.0
+SKETCH_BITS = 1 << SKETCH_LOG
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,14 +52,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = words_of(text)
     if not found:
         return np.empty(0, np.uint64)
-    low = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
-    high = np.fromiter(map(zlib.adler32, found), np.uint64, len(found))
-    w = mix64((high << np.uint64(32)) ^ low)
+    w = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
     size = min(words, len(w))
-    out = np.zeros(len(w) - size + 1, np.uint64)
-    for k in range(size):
-        out = mix64(out * _ODD + w[k : k + len(out)] + np.uint64(k + 1))
-    return np.unique(out)
+    out = w[: len(w) - size + 1].copy()
+    for k in range(1, size):
+        out = out * _ODD + w[k : k + len(out)]
+    return np.unique(mix64(out + np.uint64(size)))
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -74,37 +73,40 @@ def runs_for(recall: float, depth: int) -> int:
 
 
 def chosen(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Next paths and the index of the path that each extends."""
+    """Next paths and the index of the path that each extends.
+
+    A token is taken if its product with the path, an odd multiplier, falls below the bound.
+    """
     bound = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
     nexts, parents = [], []
-    for i, path in enumerate(paths):
-        h = mix64(tokens ^ path)
-        at = h < bound
-        nexts.append(mix64(tokens[at] * _ODD + path))
-        parents.append(np.full(int(at.sum()), i, np.int32))
+    rows = max(1, 1_000_000 // len(tokens))
+    for lo in range(0, len(paths), rows):
+        some = paths[lo : lo + rows]
+        parent, token = np.nonzero((some | np.uint64(1))[:, None] * tokens < bound)
+        nexts.append(mix64(tokens[token] * _ODD + some[parent]))
+        parents.append((parent + lo).astype(np.int32))
     return np.concatenate(nexts) if nexts else np.empty(0, np.uint64), np.concatenate(parents) if parents else np.empty(0, np.int32)
 
 
-def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """One bit of each of ``bits`` minwise hashes: equal with probability (1 + Jaccard) / 2.
+def sketch(tokens: np.ndarray) -> bytes:
+    """One bit of each of ``SKETCH_BITS`` minwise hashes: equal with probability (1 + Jaccard) / 2.
 
-    One pass over a set: its tokens are dealt to bins and each bin keeps its least hash; empty bins draw
-    from further passes of the same kind, and so stay comparable.
+    One pass over a set: its tokens are dealt to bins by the top bits of a hash, and each bin keeps its
+    least; empty bins draw from further passes of the same kind, and so stay comparable.
     """
-    least = np.full(bits, np.iinfo(np.uint64).max, np.uint64)
-    turn = np.uint64(0)
-    open_bins = np.ones(bits, bool)
-    while open_bins.any():
-        turn += np.uint64(1)
-        h = mix64(tokens * (turn * np.uint64(2) + np.uint64(1)) + turn)
-        where = (h >> np.uint64(32)).astype(np.int64) % bits
-        now = np.full(bits, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(now, where, h)
-        got = open_bins & (now != np.iinfo(np.uint64).max)
-        least[got] = now[got]
-        open_bins &= ~got
-        if turn > np.uint64(400):
-            break
+    least = np.zeros(SKETCH_BITS, np.uint64)
+    open_bins = np.ones(SKETCH_BITS, bool)
+    turns, done = 1 + 3 * SKETCH_BITS // len(tokens), 0
+    while open_bins.any() and done < 2000:
+        turn = np.arange(done + 1, done + turns + 1, dtype=np.uint64)[:, None]
+        h = np.sort(tokens * (2 * turn + np.uint64(1)) + turn * _ODD, axis=1)
+        place = (h >> np.uint64(64 - SKETCH_LOG)).astype(np.int16)
+        first = np.diff(place, axis=1, prepend=np.int16(-1)) != 0
+        bins, at = np.unique(place[first], return_index=True)  # the earliest pass that fills a bin counts
+        now = open_bins[bins]
+        least[bins[now]] = h[first][at[now]]
+        open_bins[bins] = False
+        done += turns
     return np.packbits((mix64(least) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
