@@ -52,9 +52,9 @@ def unproject(
 ) -> DataFrame:
     """Pixels with depth to camera points, or to world points when cameras carry a c2w pose (r, t).
 
-    Pixels at or below ``min_depth`` (and beyond ``z_far``) are invalid and dropped.
+    Pixels at or below ``min_depth`` (and beyond ``z_far``), NaN or NULL are invalid and dropped.
     """
-    keep = F.col("depth") > min_depth
+    keep = (F.col("depth") > min_depth) & ~F.isnan("depth")
     if z_far is not None and z_far > 0:
         keep = keep & (F.col("depth") < z_far)
     joined = attach(px.where(keep), cams, by)

@@ -135,6 +135,7 @@ def build_annotations(lists: DataFrame, sizes: DataFrame) -> DataFrame:
 REGISTRY = [
     ("davis", "data/davis/DAVIS/JPEGImages/480p/{seq}", None, None, None, False),
     ("kitti", "data/kitti/depth_selection/val_selection_cropped/image_gathered/{seq}", None, None, None, False),
+    ("nyu", "data/nyu-v2/val/nyu_images", None, None, None, False),
     (
         "bonn", "data/bonn/rgbd_bonn_dataset/rgbd_bonn_{seq}/rgb_110", "data/bonn/rgbd_bonn_dataset/rgbd_bonn_{seq}/groundtruth_110.txt",
         "tum", ["balloon2", "crowd2", "crowd3", "person_tracking2", "synchronous"], False,
@@ -195,6 +196,13 @@ def resolve_sequences(registry: DataFrame, listing: DataFrame, done: DataFrame |
     return chosen.select("dataset", "seq", fill("frame_dir").alias("frame_dir"), fill("traj_file").alias("traj_file"), "traj_format")
 
 
+def unknown_sequences(registry: DataFrame, listing: DataFrame) -> DataFrame:
+    """(dataset, seq, reason): the listed sequences that ``resolve_sequences`` leaves out for want of a rule."""
+    listed = listing.select("dataset", "seq").distinct().join(F.broadcast(registry.select("dataset", "seqs", F.lit(True).alias("_known"))), "dataset", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown_dataset").when(~F.array_contains("seqs", F.col("seq")), "not_in_list")
+    return listed.select("dataset", "seq", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def split_members(df: DataFrame, scene: str = "scene", line: str = "line") -> DataFrame:
     """``sequenceX`` lines of a split file to ``scene/seq-0X``."""
     number = F.regexp_extract(F.trim(col(line)), r"^sequence(\d+)$", 1).cast("int").cast("string")

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framespan.operators.joins import attach
 from framespan.operators.ranking import quantiles
+from framespan.session import cut
+
+
+def _number(name: str) -> Column:
+    """The column with NaN turned into NULL: Spark orders NaN above every number."""
+    value = F.col(name)
+    return F.when(~F.isnan(value), value)
 
 
 def conf_mask(df: DataFrame, q: float, by: Sequence[str], conf: str = "conf", name: str = "mask", rows: int | None = None) -> DataFrame:
     """Mark rows at or above the nearest q-quantile of their group.
 
-    ``q`` is one minus the share to keep. The threshold table has one row per group.
+    ``q`` is one minus the share to keep. The threshold table has one row per group. A confidence
+    that is NaN or NULL is never marked, and a group without any keeps its rows unmarked.
     """
-    cut = quantiles(df, by, F.col(conf), {"_cut": (q, "nearest")}, rows).drop("n_values")
-    return df.join(cut, list(by)).withColumn(name, F.col(conf) >= F.col("_cut")).drop("_cut")
+    bounds = cut(quantiles(df, by, F.col(conf), {"_cut": (q, "nearest")}, rows).drop("n_values"))
+    joined = attach(df, bounds, by, how="left", nulls=True)
+    return joined.withColumn(name, F.coalesce(_number(conf) >= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def mutual_mask(prev: DataFrame, cur: DataFrame, keys: Sequence[str], mask: str = "mask") -> DataFrame:
@@ -27,11 +37,11 @@ def mutual_mask(prev: DataFrame, cur: DataFrame, keys: Sequence[str], mask: str
 
 def confident_points(df: DataFrame, percent: float, by: Sequence[str], conf: str = "conf", floor: float = 1e-5) -> DataFrame:
     """Points at or above the linear confidence percentile and above ``floor``; 0 means no cut."""
-    kept = df.where(F.col(conf) > floor)
+    kept = df.where(_number(conf) > floor)
     if percent == 0:
         return kept.where(F.col(conf) >= 0)
-    cut = quantiles(df, by, F.col(conf), {"_cut": (percent / 100.0, "linear")}).drop("n_values")
-    return kept.join(cut, list(by)).where(F.col(conf) >= F.col("_cut")).drop("_cut")
+    bounds = cut(quantiles(df, by, F.col(conf), {"_cut": (percent / 100.0, "linear")}).drop("n_values"))
+    return attach(kept, bounds, by, nulls=True).where(F.col(conf) >= F.col("_cut")).drop("_cut")
 
 
 def filter_background(df: DataFrame, black: bool = False, white: bool = False, frame: int | None = None) -> DataFrame:
@@ -63,11 +73,11 @@ def threshold_depth(
     """Zero depths beyond ``max_depth`` or outside the percentile band of their frame.
 
     Percentiles are linear, ignore NaN/NULL and are taken after the absolute cut; a threshold that
-    is not positive is not applied. The upper cut runs before the lower one.
+    is not positive is not applied. The upper cut runs before the lower one. NaN and NULL stay.
     """
-    d = F.col(depth)
+    d, known = F.col(depth), _number(depth)
     if max_depth > 0:
-        px = px.withColumn(depth, F.when(d > max_depth, 0.0).otherwise(d))
+        px = px.withColumn(depth, F.when(known > max_depth, 0.0).otherwise(d))
     specs = {}
     if max_percent > 0:
         specs["_hi"] = (max_percent / 100.0, "linear")
@@ -75,12 +85,12 @@ def threshold_depth(
         specs["_lo"] = (min_percent / 100.0, "linear")
     if not specs:
         return px
-    cut = quantiles(px, by, d, specs).drop("n_values")
-    out = px.join(cut, list(by), "left")
+    bounds = cut(quantiles(px, by, d, specs).drop("n_values"))
+    out = attach(px, bounds, by, how="left", nulls=True)
     if "_hi" in specs:
-        out = out.withColumn(depth, F.when((F.col("_hi") > 0) & (d > F.col("_hi")), 0.0).otherwise(d))
+        out = out.withColumn(depth, F.when((F.col("_hi") > 0) & (known > F.col("_hi")), 0.0).otherwise(d))
     if "_lo" in specs:
-        out = out.withColumn(depth, F.when((F.col("_lo") > 0) & (d < F.col("_lo")), 0.0).otherwise(d))
+        out = out.withColumn(depth, F.when((F.col("_lo") > 0) & (known < F.col("_lo")), 0.0).otherwise(d))
     return out.drop(*specs)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +22,34 @@ def group_count(df: DataFrame, by: Sequence[str]) -> int:
     return df.select(*by).distinct().count()
 
 
-def attach(big: DataFrame, small: DataFrame, by: Sequence[str], rows: int | None = None, how: str = "inner") -> DataFrame:
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys under which NULL is a group like any other."""
+    by = list(by)
+    names = {b: f"_by{i}" for i, b in enumerate(by)}
+    other = right.withColumnsRenamed(names)
+    if not by:
+        return left.join(other, F.lit(True), how)
+    match = reduce(and_, [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()])
+    return left.join(other, match, how).drop(*names.values())
+
+
+def attach(big: DataFrame, small: DataFrame, by: Sequence[str], rows: int | None = None, how: str = "inner", nulls: bool = False) -> DataFrame:
     """Join a table with one (short) row per group to its detail rows.
 
     ``rows`` is the known size of ``small``; without it the table is counted. Up to the limit it is
     broadcast, so detail rows are not moved at all. Beyond it the join is salted: detail rows spread
     over ``SALTS`` sub-keys and the small side is copied to each, so a hot group never lands in one
-    task and a following aggregation still combines partially first.
+    task and a following aggregation still combines partially first. With ``nulls`` a NULL key is a
+    group of its own.
     """
     by = list(by)
     rows = small.count() if rows is None else rows
+    joined = same_group if nulls else DataFrame.join
     if rows <= broadcast_limit(big):
-        return big.join(F.broadcast(small), by, how)
+        return joined(big, F.broadcast(small), by, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*by, "_salt"], how).drop("_salt")
+    return joined(salted, copies, [*by, "_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:

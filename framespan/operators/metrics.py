@@ -21,7 +21,8 @@ def to_disparity(c: Column | str) -> Column:
 
 
 def _valid(gt: Column, max_depth: float | None) -> Column:
-    ok = gt > 0
+    """A ground truth that is a number above zero (Spark orders NaN above every number)."""
+    ok = (gt > 0) & ~F.isnan(gt)
     return ok & (gt < max_depth) if max_depth is not None else ok
 
 
@@ -65,7 +66,7 @@ def depth_metrics(
     used = _valid(F.col("gt"), max_depth)
     if mask is not None:
         used = used & F.col(mask)
-    aligned = attach(pairs, alignment, by, how="left").select(
+    aligned = attach(pairs, alignment, by, how="left", nulls=True).select(
         *by, F.col("gt"), p.alias("p"), F.coalesce(used, F.lit(False)).alias("ok")
     )
     g, p, ok = F.col("gt"), F.col("p"), F.col("ok")
@@ -95,7 +96,7 @@ def error_map(
     """Relative error per pixel, 0 where the ground truth is not valid."""
     p = F.col("scale") * F.col("pred") + F.col("shift")
     p = to_disparity(p) if disparity else p
-    joined = attach(pairs, alignment, by, how="left")
+    joined = attach(pairs, alignment, by, how="left", nulls=True)
     error = F.when(_valid(F.col("gt"), max_depth), F.abs(p - F.col("gt")) / F.col("gt")).otherwise(F.lit(0.0))
     return joined.withColumn("error", F.coalesce(error, F.lit(0.0))).drop("scale", "shift")
 

@@ -1,10 +1,11 @@
 """Ordered work inside groups of any size.
 
 A plain ``row_number() OVER (PARTITION BY scene ...)`` puts a whole scene into one task. Here a
-large input is first cut into value ranges ("slices") of the ordering key, each small enough for
-one task. Slice-local windows plus a short per-group table of slice offsets give the same answer
-without gathering a group. Slice bounds are plan literals, so a recomputed task cuts exactly like
-the lost one. Inputs below the size limit use the plain window.
+large input is first cut into ranges ("slices") of the ordering key, each small enough for one task.
+Slice-local windows plus a short per-group table of slice offsets give the same answer without
+gathering a group. Slices are the range partitions of a written table, so a recomputed task cuts
+exactly like the lost one, any sort direction works and their number has no bound. Groups are matched
+null-safe, so a NULL key is one group at every size. Inputs below the size limit use the plain window.
 """
 
 from __future__ import annotations
@@ -14,40 +15,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from framespan.operators.joins import same_group
+from framespan.session import cut
+
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 1024
-SAMPLE_PER_SLICE = 40
 
 
 def rows_per_slice(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.framespan.rowsPerSlice", str(ROWS_PER_SLICE)))
 
 
-def _literal(value) -> Column:
-    if isinstance(value, tuple):
-        names = getattr(value, "__fields__", [f"f{i}" for i in range(len(value))])
-        return F.struct(*[_literal(v).alias(n) for n, v in zip(names, value)])
-    if isinstance(value, list):
-        return F.array(*[_literal(v) for v in value])
-    return F.lit(value)
-
-
-def _bounds(df: DataFrame, order: Sequence[Column], rows: int, slices: int) -> list:
-    """Evenly spaced sample quantiles of the ordering key: at most ``MAX_SLICES`` small rows."""
-    fraction = min(1.0, SAMPLE_PER_SLICE * slices / max(rows, 1))
-    keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    sample = keys.sample(fraction=fraction, seed=17).limit(2 * SAMPLE_PER_SLICE * slices)
-    picked = sample.orderBy(*keys.columns).collect()
-    step = max(1, len(picked) // slices)
-    bounds: list = []
-    for row in picked[step::step]:
-        if not bounds or row != bounds[-1]:
-            bounds.append(row)
-    return bounds
-
-
-def slice_of(df: DataFrame, order: Sequence[Column], rows: int | None = None) -> Column | None:
-    """Slice number for each row, or ``None`` when the input fits one slice.
+def sliced_by(df: DataFrame, order: Sequence[Column], rows: int | None = None) -> DataFrame | None:
+    """The rows with their ``_slice`` number in ``order``, or ``None`` when the input fits one slice.
 
     ``rows`` is a known row count; without it the input is counted.
     """
@@ -55,16 +34,7 @@ def slice_of(df: DataFrame, order: Sequence[Column], rows: int | None = None) ->
     rows = df.count() if rows is None else rows
     if rows <= limit:
         return None
-    bounds = _bounds(df, order, rows, min(MAX_SLICES, max(2, 2 * rows // limit)))
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < _literal(bounds[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
-
-    return pick(0, len(bounds))
+    return cut(df.repartitionByRange(max(2, 2 * rows // limit), *order).withColumn("_slice", F.spark_partition_id()))
 
 
 def _per_slice_offsets(sliced: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
@@ -74,7 +44,7 @@ def _per_slice_offsets(sliced: DataFrame, by: Sequence[str], value: Column) -> D
     return sums.select(
         *by,
         "_slice",
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_sum").over(earlier).alias("_offset"),
         F.sum("_sum").over(whole).alias("_whole"),
     )
 
@@ -90,16 +60,16 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order`` within ``by`` (order must be a total order)."""
     by = list(by)
-    cut_at = slice_of(df, order, rows)
-    if cut_at is None:
+    sliced = sliced_by(df, order, rows)
+    if sliced is None:
         ordered = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = df.withColumn(name, F.sum(value).over(ordered))
         return out.withColumn(total_name, F.sum(value).over(Window.partitionBy(*by))) if total_name else out
-    sliced = df.withColumn("_slice", cut_at)
     ordered = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_local", F.sum(value).over(ordered))
-    joined = local.join(_per_slice_offsets(sliced, by, value), [*by, "_slice"])
-    out = joined.withColumn(name, F.col("_local") + F.col("_offset"))
+    joined = same_group(local, _per_slice_offsets(sliced, by, value), [*by, "_slice"])
+    # NULL only where neither this slice nor an earlier one has a value so far
+    out = joined.withColumn(name, F.coalesce(F.col("_local") + F.col("_offset"), "_local", "_offset"))
     if total_name:
         out = out.withColumn(total_name, F.col("_whole"))
     return out.drop("_slice", "_local", "_offset", "_whole")
@@ -115,14 +85,13 @@ def ranked(
 ) -> DataFrame:
     """``row_number()`` from 1 within ``by``; ``total_name`` adds the group size."""
     by = list(by)
-    cut_at = slice_of(df, order, rows)
-    if cut_at is None:
+    sliced = sliced_by(df, order, rows)
+    if sliced is None:
         out = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
         return out.withColumn(total_name, F.count(F.lit(1)).over(Window.partitionBy(*by))) if total_name else out
-    sliced = df.withColumn("_slice", cut_at)
     local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)))
-    joined = local.join(_per_slice_offsets(sliced, by, F.lit(1)), [*by, "_slice"])
-    out = joined.withColumn(name, (F.col("_local") + F.col("_offset")).cast("long"))
+    joined = same_group(local, _per_slice_offsets(sliced, by, F.lit(1)), [*by, "_slice"])
+    out = joined.withColumn(name, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
     if total_name:
         out = out.withColumn(total_name, F.col("_whole"))
     return out.drop("_slice", "_local", "_offset", "_whole")
@@ -169,18 +138,17 @@ def carry_last(
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row."""
     by = list(by)
-    cut_at = slice_of(df, order, rows)
-    if cut_at is None:
+    sliced = sliced_by(df, order, rows)
+    if sliced is None:
         spec = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(spec))
-    sliced = df.withColumn("_slice", cut_at)
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    ends = sliced.groupBy(*by, "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), key)).alias("_end"))
+    spec = Window.partitionBy(*by, "_slice").orderBy(*order)
+    local = sliced.withColumn("_local", F.last(value, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = sliced.select(*by, "_slice", F.col(value).alias("_v"), F.row_number().over(spec).alias("_rn"))
+    ends = placed.groupBy(*by, "_slice").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_rn"))).alias("_end"))
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*by, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    spec = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("_local", F.last(value, ignorenulls=True).over(spec))
-    out = local.join(ends, [*by, "_slice"]).withColumn(name, F.coalesce("_local", "_carry"))
+    out = same_group(local, ends, [*by, "_slice"]).withColumn(name, F.coalesce("_local", "_carry"))
     return out.drop("_slice", "_local", "_carry")
 
 

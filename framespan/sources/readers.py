@@ -124,7 +124,8 @@ def _numbers(line: Column) -> Column:
 def scan_trajectories(spark: SparkSession, path: str, fmt: str = "tum") -> DataFrame:
     """(seq, pos, ts, r, t): camera-to-world poses of trajectory text files.
 
-    ``tum``: ``t x y z qx qy qz qw`` per line. ``kitti``: 12 numbers per line; ``replica``: 16 per
+    ``tum``: ``t x y z qx qy qz qw`` per line; ``scalar_first``: ``t x y z qw qx qy qz``, as
+    ``writers.export_scene`` writes it. ``kitti``: 12 numbers per line; ``replica``: 16 per
     line. ``blocks``: 4 x 4 matrices, one row per line. The sequence is the file's directory.
     """
     rows = _lines(spark, path).where(~F.ltrim(F.col("line")).startswith("#")).withColumn("n", _numbers(F.col("line")))
@@ -140,10 +141,9 @@ def scan_trajectories(spark: SparkSession, path: str, fmt: str = "tum") -> DataF
     else:
         placed = ranked(rows.select("path", "line_no", "n"), ["path"], [F.col("line_no")], "_rn")
         ready = placed.select("path", (F.col("_rn") - 1).alias("pos"), (F.col("_rn") - 1).cast("double").alias("ts"), "n")
-    if fmt == "tum":
-        return ready.select(
-            seq, "pos", n[0].alias("ts"), matrix_from_quat(n[4], n[5], n[6], n[7]).alias("r"), F.array(n[1], n[2], n[3]).alias("t")
-        )
+    if fmt in ("tum", "scalar_first"):
+        quaternion = [n[i] for i in ((4, 5, 6, 7) if fmt == "tum" else (5, 6, 7, 4))]
+        return ready.select(seq, "pos", n[0].alias("ts"), matrix_from_quat(*quaternion).alias("r"), F.array(n[1], n[2], n[3]).alias("t"))
     if fmt not in ("kitti", "replica"):
         raise ValueError(f"unknown trajectory format {fmt!r}")
     r = F.array(*[n[4 * i + j] for i in range(3) for j in range(3)])
@@ -219,7 +219,7 @@ def scan_mvs_cameras(spark: SparkSession, path: str, interval_scale: float = 1.0
 
     The depth line has 2, 3 or 4 numbers; without it the depth range is zero. Poses are w2c.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("w"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("w"))
     size = F.size("w")
 
     def num(i: int) -> Column:
@@ -264,16 +264,38 @@ def parse_metric_reports(whole: DataFrame) -> DataFrame:
     return whole.select("seq", *[value(p).alias(n) for n, p in REPORT_SECTIONS.items()])
 
 
+def _csv_fields(line: Column) -> Column:
+    """Fields of a CSV line; quoted ones may hold commas and doubled quotes."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+
+    def plain(field: Column) -> Column:
+        field = F.trim(field)
+        inner = F.replace(F.substr(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+        return F.when(field.startswith('"') & (F.length(field) >= 2), inner).otherwise(field)
+
+    return F.transform(fields, plain)
+
+
 def gather_csv(spark: SparkSession, path: str) -> DataFrame:
     """Last row of every CSV file, columns united by name; ``file`` names the source.
 
-    Each file is one text row, so header and last line stay together whatever the file order.
+    Each file is one text row, so header and last line stay together whatever the file order. A file
+    with a header only has one row whose name and value are NULL.
     """
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    parts = whole.select(basename(F.col("_metadata.file_path")).alias("file"), lines.alias("lines")).where(F.size("lines") >= 2)
-    pairs = parts.select("file", F.explode(F.arrays_zip(F.split(F.col("lines")[0], ",").alias("name"), F.split(F.element_at("lines", -1), ",").alias("value"))).alias("c"))
-    return pairs.select("file", F.trim("c.name").alias("name"), F.trim("c.value").alias("value"))
+    parts = whole.select(basename(F.col("_metadata.file_path")).alias("file"), lines.alias("lines"))
+    names = _csv_fields(F.get("lines", F.lit(0)))
+    last = F.when(F.size("lines") >= 2, _csv_fields(F.element_at("lines", -1)))
+    pairs = parts.select("file", F.explode_outer(F.when(last.isNotNull(), F.arrays_zip(names.alias("name"), last.alias("value")))).alias("c"))
+    return pairs.select("file", F.col("c.name").alias("name"), F.col("c.value").alias("value"))
+
+
+def gather_csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """``gather_csv`` as a table: one row per file, one column for each name that any file has."""
+    cells = gather_csv(spark, path)
+    names = [r.name for r in cells.where("name IS NOT NULL").select("name").distinct().orderBy("name").collect()]
+    return cells.groupBy("file").pivot("name", names).agg(F.first("value")) if names else cells.select("file").distinct()
 
 
 def world_to_camera(df: DataFrame) -> DataFrame:
