@@ -13,13 +13,28 @@ ROTATION_TYPE = T.StructType(
 )
 
 
-@F.pandas_udf(ROTATION_TYPE)
-def best_rotation(h: pd.Series) -> pd.DataFrame:
-    """Rotation R maximising tr(R·H) for H = sum src·dst^T, and that maximum.
+def best_rotations(mats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stacked moments H = sum src·dst^T: the rotations R maximising tr(R·H), those maxima, and ranks.
 
-    ``rank`` counts singular values that are not numerically zero; rows without moments get rank 0
-    instead of an error, so one bad group never fails the job.
+    ``rank`` counts singular values that are not numerically zero.
     """
+    u, s, vt = np.linalg.svd(mats)
+    signs = np.ones((len(mats), 3))
+    signs[:, 2] = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
+    rot = np.einsum("nji,nj,nkj->nik", vt, signs, u)
+    top = np.maximum(s[:, :1], np.finfo(float).tiny)
+    return rot, (signs * s).sum(axis=1), (s > 1e-12 * top).sum(axis=1)
+
+
+def rotation_of(moments: np.ndarray) -> tuple[np.ndarray, int]:
+    """Best rotation and rank of one 3x3 moment matrix."""
+    rot, _, rank = best_rotations(moments[None])
+    return rot[0], int(rank[0])
+
+
+@F.pandas_udf(ROTATION_TYPE)
+def best_rotation(h: pd.Series) -> pd.DataFrame:
+    """``best_rotations`` on a column; rows without moments get rank 0 instead of an error."""
     n = len(h)
     mats = np.zeros((n, 3, 3))
     good = np.zeros(n, dtype=bool)
@@ -28,20 +43,8 @@ def best_rotation(h: pd.Series) -> pd.DataFrame:
             values = np.asarray(row, dtype=float)
             if values.size == 9 and np.isfinite(values).all():
                 mats[i], good[i] = values.reshape(3, 3), True
-    u, s, vt = np.linalg.svd(mats)
-    flip = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
-    signs = np.ones((n, 3))
-    signs[:, 2] = flip
-    rot = np.einsum("nji,nj,nkj->nik", vt, signs, u)
-    top = np.maximum(s[:, :1], np.finfo(float).tiny)
-    rank = np.where(good, (s > 1e-12 * top).sum(axis=1), 0)
-    return pd.DataFrame(
-        {
-            "r": [m.reshape(-1).tolist() for m in rot],
-            "trace": (signs * s).sum(axis=1),
-            "rank": rank.astype("int32"),
-        }
-    )
+    rot, trace, rank = best_rotations(mats)
+    return pd.DataFrame({"r": [m.reshape(-1).tolist() for m in rot], "trace": trace, "rank": np.where(good, rank, 0).astype("int32")})
 
 
 @F.pandas_udf(VECTOR)

@@ -32,6 +32,45 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     assert got == sorted(tuple(r) for r in want.collect())
 
 
+def test_numbers_go_on_after_the_end_and_late_frames_are_kept(spark, tmp_path):
+    def at(sec):
+        return T0 + dt.timedelta(seconds=sec)
+
+    batches = [
+        [("a", k, at(k), False) for k in range(4)] + [("a", None, at(5), True)],
+        [("a", 10 + k, at(100 + k), False) for k in range(3)],
+        [("a", 13, at(110), False)],
+        [("a", 99, at(1), False), ("a", 20, at(200), False), ("a", -1, at(201), True)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ST.FRAME_STREAM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    raw = ST.frame_stream(spark, str(tmp_path / "in"))
+    out = ST.assemble_windows(ST.drop_repeats(raw, "10 seconds"), 3, 1)
+    ST.run_available(out, str(tmp_path / "cp"), lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out")))
+    got = sorted((r.window_id, r.pos, r.frame_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 2), (1, 1, 3), (2, 0, 10), (2, 1, 11), (2, 2, 12), (3, 0, 12), (3, 1, 13), (3, 2, 20)]
+    sink = ST.late_frames(spark, str(tmp_path / "rejects"), "10 seconds")
+    ST.run_available(raw, str(tmp_path / "cp2"), sink)
+    late = spark.read.parquet(str(tmp_path / "rejects" / "late")).collect()
+    assert [(r.frame_id, r.reason) for r in late] == [(99, "late")]
+
+
+def test_windows_without_overlap_get_a_status(spark, tmp_path):
+    eye = np.eye(3).reshape(-1).tolist()
+    nan = float("nan")
+
+    def frame(window, pos, frame_id, conf=(1.0, 2.0)):
+        return ("s", window, 2, pos, frame_id, [1.0, 2.0], [0.0, 1.0], [1.0, 1.0], list(conf), eye, [float(frame_id), 0.0, 0.0])
+
+    rows = [frame(0, 0, 0), frame(0, 1, 1), frame(1, 0, 7), frame(1, 1, 8), frame(2, 0, 8, (nan, nan)), frame(2, 1, 9)]
+    spark.createDataFrame(rows, ST.SCORED).coalesce(1).write.parquet(str(tmp_path / "in"))
+    for overlap, want in ((1, ["ok", "no_overlap", "no_points"]), (0, ["ok", "no_overlap", "no_overlap"])):
+        stream = spark.readStream.schema(ST.SCORED).parquet(str(tmp_path / "in"))
+        ST.run_available(ST.register_stream(stream, overlap, 0.3), str(tmp_path / f"cp{overlap}"), lambda b, i, o=overlap: b.write.mode("append").parquet(str(tmp_path / f"out{o}")))
+        got = sorted((r.window_id, r.status) for r in spark.read.parquet(str(tmp_path / f"out{overlap}")).collect())
+        assert [s for _, s in got] == want
+
+
 def _scene(n=10, size=4, overlap=2, h=3, w=4):
     """Known world, windows with their own similarity: poses, points and the planted relative transforms."""
     rng = np.random.default_rng(8)
