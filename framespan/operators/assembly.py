@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from framespan.functions import columns as C
 from framespan.functions import geometry as G
@@ -19,7 +20,7 @@ from framespan.operators.graph import accumulate_sim3
 from framespan.operators.joins import attach
 from framespan.operators.robust import irls_scale_points
 from framespan.operators.windows import merge_windows
-from framespan.session import cut
+from framespan.session import cut, ensure_checkpoint_dir
 
 PIXEL = ("v", "u")
 XYZ = ("x", "y", "z")
@@ -123,6 +124,14 @@ def assemble(
     return transform_points(local, posed, [*keys, "frame_id"]), placed
 
 
+def _by_window(df: DataFrame) -> Callable[[int], DataFrame]:
+    """Write ``df`` with one folder per window; the result reads one window back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.withColumn("_w", F.col("window_id")).repartition("_w", "pos").write.partitionBy("_w").parquet(path)
+    stored = df.sparkSession.read.schema(StructType([*df.schema, StructField("_w", LongType())])).parquet(path)
+    return lambda k: stored.where(F.col("_w") == k).drop("_w")
+
+
 def register_chain(
     px: DataFrame, poses: DataFrame, size: int, overlap: int, q: float = 0.7, by: Sequence[str] = ("scene",), refine: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +147,12 @@ def register_chain(
     keys = [*by, "window_id"]
     step = size - overlap
     last = poses.agg(F.max("window_id")).first()[0]
-    done_px = [cut(px.where("window_id = 0"))]
-    done_poses = [cut(poses.where("window_id = 0"))]
+    # stored by window once, so each step reads the folder of its own window only
+    px_of, poses_of = _by_window(px), _by_window(poses)
+    done_px = [cut(px_of(0))]
+    done_poses = [cut(poses_of(0))]
     for k in range(1, (last or 0) + 1):
-        now_px, now_poses = px.where(F.col("window_id") == k), poses.where(F.col("window_id") == k)
+        now_px, now_poses = px_of(k), poses_of(k)
         prev_px, prev_poses = done_px[-1], done_poses[-1]
         fits = register_pairs(_tail(prev_px, step), _head(now_px, overlap), _tail(prev_poses, step), _head(now_poses, overlap), q, keys)
         ok = F.coalesce(F.col("status") == "ok", F.lit(False))

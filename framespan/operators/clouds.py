@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from framespan.session import cut
 AXES = ("x", "y", "z")
 LEAF = 32
 FAN = 4  # each cell splits into FAN^3 children
-MAX_LEVELS = 8
+FINEST = 24  # FAN^24 parts of the cube: beyond that doubles hold no further position
 
 
 def _cell(level: int, origin: str = "_o", edge: str = "_e") -> list[Column]:
@@ -45,7 +46,7 @@ def _box_distance(level: int) -> tuple[Column, Column]:
         width = F.col("_e") / FAN**level
         start = F.col("_o")[i] + F.col(f"c{a}") * width
         end = start + width
-        slack = F.col("_e") * 1e-9
+        slack = F.col("_e") * 4e-15  # rounding of a position in the cube
         q = F.col(f"q{a}")
         outside = F.greatest(start - slack - q, q - end - slack, F.lit(0.0))
         far = F.greatest(F.abs(q - start), F.abs(q - end)) + slack
@@ -54,9 +55,60 @@ def _box_distance(level: int) -> tuple[Column, Column]:
     return C.total(low), C.total(high)
 
 
+@dataclass
+class PointIndex:
+    """Reference points stored once, the cube of each group and the levels at which its cells split."""
+
+    by: list[str]
+    k: int
+    payload: list[str]
+    placed: DataFrame
+    cubes: DataFrame
+    groups: int
+    levels: list[int]
+
+    def children(self, level: int, above: int) -> DataFrame:
+        """Non-empty cells of a level with their point counts and their parent cell of the level ``above``."""
+        cells = self.placed.groupBy(*self.by, *[c.alias(f"c{a}") for c, a in zip(_cell(level), AXES)]).agg(F.count(F.lit(1)).alias("_n"))
+        return cells.withColumns({f"pc{a}": F.floor(F.col(f"c{a}") / FAN ** (level - above)) for a in AXES})
+
+
+def point_index(ref: DataFrame, k: int = 1, by: Sequence[str] = (), payload: Sequence[str] = (), leaf: int = LEAF) -> PointIndex:
+    """Index of ``ref`` (pid, x, y, z, payload) for searches of up to ``k`` neighbours.
+
+    The cube of each group is subdivided until a cell holds at most ``leaf`` distinct points. Levels that
+    split nothing are skipped, so a far outlier costs no search step and no number of levels is too deep.
+    Of coincident reference points the k smallest ids are kept, which is all the answer can use.
+    """
+    by, payload = list(by), list(payload)
+    if k == 1:
+        ref = ref.groupBy(*by, *AXES).agg(F.min_by(F.struct("pid", *payload), "pid").alias("_r")).select(*by, *AXES, "_r.*")
+    else:
+        # of coincident points only the k smallest ids can ever be among k neighbours
+        ref = smallest_n(ref, [*by, *AXES], [F.col("pid")], k)
+    ref = cut(ref.select(*by, "pid", *AXES, *payload))
+    cubes = cut(_cubes(ref, by))
+    groups = cubes.count()
+    placed = cut(attach(ref, cubes, by, groups))
+
+    def largest(level: int) -> int:
+        sizes = placed.groupBy(*by, *[c.alias(f"c{a}") for c, a in zip(_cell(level), AXES)]).agg(F.count(F.lit(1)).alias("_n"))
+        return sizes.agg(F.max("_n")).first()[0] or 0
+
+    levels, size = [], largest(0)
+    for level in range(1, FINEST + 1):
+        if size <= leaf:
+            break
+        now = largest(level)
+        if now < 0.9 * size:
+            levels.append(level)
+            size = now
+    return PointIndex(by, k, payload, placed, cubes, groups, levels)
+
+
 def knn(
     query: DataFrame,
-    ref: DataFrame,
+    ref: DataFrame | PointIndex,
     k: int = 1,
     by: Sequence[str] = (),
     payload: Sequence[str] = (),
@@ -66,33 +118,21 @@ def knn(
     """Exact k nearest reference points of every query point.
 
     Returns (by, pid, rank, ref_pid, distance, ref_x/y/z, ref payload). ``query``/``ref`` hold
-    ``pid, x, y, z``.
+    ``pid, x, y, z``; ``ref`` may be a ``point_index`` of the same ``by``, which is then not built again.
 
-    The reference cube is subdivided level by level until a cell holds at most ``leaf`` distinct
-    points. A query carries the cells that can still hold one of its k nearest points; each level
-    joins those cells with their non-empty children and drops every child farther away than a
-    bound that k points are known to meet. Dense regions therefore just split deeper: no cell is
-    scanned whole, no radius is guessed, and nothing is dropped that could be a neighbour.
-    Of coincident reference points the k smallest ids are kept, which is all the answer can use.
+    A query carries the cells that can still hold one of its k nearest points; each level joins
+    those cells with their non-empty children and drops every child farther away than a bound that
+    k points are known to meet. Dense regions therefore just split deeper: no cell is scanned
+    whole, no radius is guessed, and nothing is dropped that could be a neighbour.
     """
     by = list(by)
     # a constant group keeps one code path for clouds without groups
     if not by:
         return knn(query.withColumn("_g", F.lit(0)), ref.withColumn("_g", F.lit(0)), k, ["_g"], payload, radius, leaf).drop("_g")
-    if k == 1:
-        ref = ref.groupBy(*by, *AXES).agg(F.min_by(F.struct("pid", *payload), "pid").alias("_r")).select(*by, *AXES, "_r.*")
-    else:
-        # of coincident points only the k smallest ids can ever be among k neighbours
-        ref = smallest_n(ref, [*by, *AXES], [F.col("pid")], k)
-    cubes = cut(_cubes(ref, by))
-    groups = cubes.count()
-    placed = attach(ref.select(*by, "pid", *AXES, *payload), cubes, by, groups)
-    levels = 0
-    while levels < MAX_LEVELS:
-        sizes = placed.groupBy(*by, *[c.alias(f"c{a}") for c, a in zip(_cell(levels), AXES)]).agg(F.count(F.lit(1)).alias("_n"))
-        if (sizes.agg(F.max("_n")).first()[0] or 0) <= leaf:
-            break
-        levels += 1
+    index = ref if isinstance(ref, PointIndex) else point_index(ref, k, by, payload, leaf)
+    if index.by != by or index.k < k:
+        raise ValueError("the index was built for other groups or fewer neighbours")
+    placed, cubes, groups, payload = index.placed, index.cubes, index.groups, index.payload
     cells = [f"c{a}" for a in AXES]
     limit = F.lit(float("inf")) if radius is None else F.lit(float(radius) ** 2)
     # coincident query points are searched once and share the answer
@@ -102,12 +142,8 @@ def knn(
     root = F.array(F.struct(*[F.lit(0).cast("long").alias(c) for c in cells]))
     front = points.withColumn("_cells", root)
     carried = [*by, "pid", "qx", "qy", "qz", "_o", "_e"]
-    for level in range(1, levels + 1):
-        children = (
-            placed.groupBy(*by, *[c.alias(n) for c, n in zip(_cell(level), cells)])
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumns({f"p{n}": F.floor(F.col(n) / FAN) for n in cells})
-        )
+    for above, level in zip([0, *index.levels], index.levels):
+        children = index.children(level, above)
         opened = front.select(*carried, "_bound", F.explode("_cells").alias("_c")).select(
             *carried, "_bound", *[F.col(f"_c.{n}").alias(f"p{n}") for n in cells]
         )
@@ -127,7 +163,7 @@ def knn(
             *by, "pid", "_q.*", "_bound", F.transform(alive, lambda c: F.struct(*[c[n].alias(n) for n in cells])).alias("_cells")
         )
     leaves = placed.select(
-        *by, *[c.alias(n) for c, n in zip(_cell(levels), cells)], F.col("pid").alias("ref_pid"),
+        *by, *[c.alias(n) for c, n in zip(_cell(index.levels[-1] if index.levels else 0), cells)], F.col("pid").alias("ref_pid"),
         *[F.col(a).alias(f"ref_{a}") for a in AXES], *[F.col(p).alias(f"ref_{p}") for p in payload],
     )
     final = front.select(*by, "pid", "qx", "qy", "qz", "_bound", F.explode("_cells").alias("_c")).select(
@@ -151,7 +187,7 @@ def knn(
     return members.join(answer, [*by, "_rep"]).drop("_rep")
 
 
-def nearest(query: DataFrame, ref: DataFrame, by: Sequence[str] = (), payload: Sequence[str] = (), radius: float | None = None) -> DataFrame:
+def nearest(query: DataFrame, ref: DataFrame | PointIndex, by: Sequence[str] = (), payload: Sequence[str] = (), radius: float | None = None) -> DataFrame:
     """Nearest reference point of each query point (ties go to the smaller id)."""
     return knn(query, ref, 1, by, payload, radius).drop("rank")
 
@@ -161,7 +197,7 @@ def cloud_metrics(pred: DataFrame, gt: DataFrame, by: Sequence[str], threshold:
     by = list(by)
 
     def side(q: DataFrame, r: DataFrame, name: str) -> DataFrame:
-        found = nearest(q, r, by)
+        found = cut(nearest(q, r, by).select(*by, "distance"))
         stats = found.groupBy(*by).agg(
             F.avg("distance").alias(name), F.avg((F.col("distance") < threshold).cast("double")).alias(f"{name}_ratio")
         )
@@ -184,7 +220,7 @@ def normal_consistency(pred: DataFrame, gt: DataFrame, by: Sequence[str]) -> Dat
     def side(q: DataFrame, r: DataFrame, name: str) -> DataFrame:
         found = nearest(q, r, by, NORMAL).join(q.select(*by, "pid", *NORMAL), [*by, "pid"])
         value = F.abs(C.total([F.col(c) * F.col(f"ref_{c}") for c in NORMAL]))
-        dots = found.select(*by, value.alias("_dot"))
+        dots = cut(found.select(*by, value.alias("_dot")))
         med = quantiles(dots, by, F.col("_dot"), {f"{name}_median": (0.5, "linear")}).drop("n_values")
         return dots.groupBy(*by).agg(F.avg("_dot").alias(name)).join(med, by)
 
@@ -247,7 +283,7 @@ def transform_cloud(points: DataFrame, fits: DataFrame, by: Sequence[str], rows:
 def icp(
     pred: DataFrame, gt: DataFrame, radius: float, by: Sequence[str], max_iters: int = 30, tol: float = 1e-6
 ) -> DataFrame:
-    """Point-to-point ICP from the identity: (by, s=1, r, t, n, rmse, status).
+    """Point-to-point ICP from the identity: (by, s=1, r, t, rmse, fitness, converged).
 
     Each round matches all clouds by exact nearest neighbours within ``radius`` and refits. A cloud
     stops when its rmse and inlier share change by less than ``tol``; only the count of moving
@@ -257,6 +293,7 @@ def icp(
 
     by = list(by)
     groups = group_count(pred, by)
+    index = point_index(gt, 1, by)
     sizes = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     start = C.sim3_identity()
     state = cut(
@@ -268,8 +305,8 @@ def icp(
         if live.isEmpty():
             break
         cloud = attach(pred, live.select(*by), by, groups, "left_semi")
-        moved = transform_cloud(cloud, live, by, groups)
-        found = nearest(moved, gt, by, radius=radius)
+        moved = cut(transform_cloud(cloud, live, by, groups))
+        found = nearest(moved, index, by, radius=radius)
         pairs = found.join(moved.select(*by, "pid", *AXES), [*by, "pid"]).select(
             *by, "distance", *[F.col(a).alias(f"s{a}") for a in AXES], *[F.col(f"ref_{a}").alias(f"d{a}") for a in AXES]
         )
@@ -291,4 +328,4 @@ def icp(
                 (F.col("_done") | F.col("_step").isNull() | F.coalesce(settled, F.lit(False))).alias("_done"),
             )
         )
-    return state.drop("_done", "_size")
+    return state.withColumnRenamed("_done", "converged").drop("_size")

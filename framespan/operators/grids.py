@@ -23,7 +23,11 @@ def _col(by: Sequence[str]):
 
 
 def local_range(px: DataFrame, value: Column, by: Sequence[str], before: int, after: int) -> DataFrame:
-    """Adds ``_min``/``_max`` of ``value`` over the box of offsets -before..after (two passes)."""
+    """Adds ``_min``/``_max`` of ``value`` over the box of offsets -before..after (two passes).
+
+    Dealing the pixels by frame once serves the row and the column windows.
+    """
+    px = px.repartition(*by)
     rows = px.withColumn("_rmin", F.min(value).over(_row(by).rangeBetween(-before, after)))
     rows = rows.withColumn("_rmax", F.max(value).over(_row(by).rangeBetween(-before, after)))
     cols = rows.withColumn("_min", F.min("_rmin").over(_col(by).rangeBetween(-before, after)))
@@ -71,7 +75,7 @@ def ramp_pixels(px: DataFrame, by: Sequence[str], threshold: float | Column, val
         limit = F.lit(threshold) if not isinstance(threshold, Column) else threshold
         return F.coalesce(adjacent & (square > limit * limit), F.lit(False))
 
-    return px.withColumn("_h", steep(_row(by), "u")).withColumn("ramp", F.col("_h") | steep(_col(by), "v")).drop("_h")
+    return px.repartition(*by).withColumn("_h", steep(_row(by), "u")).withColumn("ramp", F.col("_h") | steep(_col(by), "v")).drop("_h")
 
 
 def grid_edges(px: DataFrame, by: Sequence[str], keep: Sequence[str]) -> DataFrame:

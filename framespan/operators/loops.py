@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,31 +27,25 @@ def _greedy(pairs: DataFrame, group: Sequence[str], ends: Sequence[str], radius:
     sequential answer.
     """
     group = list(group)
-    state = cut(pairs.withColumn("_key", key).withColumn("_state", F.lit(0)))
+    live = cut(pairs.withColumn("_key", key))
     frames = F.explode(F.array_distinct(F.array(*ends)))
     span = F.explode(F.sequence(F.col("_f") - radius, F.col("_f") + radius))
-    while True:
-        live = state.where(F.col("_state") == 0)
-        if live.isEmpty():
-            break
+    found = []
+    while not live.isEmpty():
         best = live.select(*group, frames.alias("_f"), "_key").groupBy(*group, "_f").agg(F.min("_key").alias("_key"))
         around = best.select(*group, span.alias("_f"), "_key").groupBy(*group, "_f").agg(F.min("_key").alias("_best"))
-        picked = live
+        rivals = live
         for end in ends:
             near = around.select(*group, F.col("_f").alias(end), F.col("_best").alias(f"_best_{end}"))
-            picked = picked.join(near, [*group, end])
-        lowest = F.least(*[F.col(f"_best_{e}") for e in ends]) if len(ends) > 1 else F.col(f"_best_{ends[0]}")
-        picked = picked.where(F.col("_key") == lowest).select(*group, "_key", *ends)
-        covered = picked.select(*group, frames.alias("_f")).select(*group, span.alias("_f")).distinct()
-        marks = picked.select(*group, "_key", F.lit(True).alias("_picked"))
-        nxt = state.join(marks, [*group, "_key"], "left")
+            rivals = rivals.join(near, [*group, end])
+        picked = cut(rivals.where(F.col("_key") == F.least(*[F.col(f"_best_{e}") for e in (*ends, ends[0])])).select(*live.columns))
+        found.append(picked)
+        covered = cut(picked.select(*group, frames.alias("_f")).select(*group, span.alias("_f")).distinct())
+        # only pairs that may still be picked are carried into the next round
         for end in ends:
-            hit = covered.select(*group, F.col("_f").alias(end), F.lit(True).alias(f"_hit_{end}"))
-            nxt = nxt.join(hit, [*group, end], "left")
-        gone = F.coalesce(*[F.col(f"_hit_{e}") for e in ends], F.lit(False))
-        fresh = F.when(F.col("_state") != 0, F.col("_state")).when(F.col("_picked"), 1).when(gone, 2).otherwise(0)
-        state = cut(nxt.withColumn("_state", fresh).select(*state.columns))
-    return state.where(F.col("_state") == 1).drop("_key", "_state")
+            live = live.join(covered.withColumnRenamed("_f", end), [*group, end], "left_anti")
+        live = cut(live)
+    return reduce(DataFrame.unionByName, found, pairs.withColumn("_key", key).where(F.lit(False))).drop("_key")
 
 
 def nms_pairs(pairs: DataFrame, radius: int = 25, by: Sequence[str] = ("scene",)) -> DataFrame:

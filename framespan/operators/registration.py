@@ -229,9 +229,8 @@ def alignment_error(
 ) -> DataFrame:
     """Mean, standard deviation (population), median and maximum of the residual distance."""
     by = list(by)
-    res = attach(pairs, fits.where("status = 'ok'").select(*by, "s", "r", "t"), by, rows).select(
-        *by, _residual(src, dst).alias("_e")
-    )
+    res = attach(pairs, fits.where("status = 'ok'").select(*by, "s", "r", "t"), by, rows)
+    res = cut(res.select(*by, _residual(src, dst).alias("_e")))
     stats = res.groupBy(*by).agg(
         F.avg("_e").alias("mean_error"),
         F.stddev_pop("_e").alias("std_error"),

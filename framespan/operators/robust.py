@@ -1,9 +1,9 @@
 """Robust scale estimation by iteratively reweighted least squares, for all groups at once.
 
-Each pass is one aggregation over the pairs joined with the current per-group scale. The three
-forms differ on purpose (start value, stop rule, clamp). A few passes are unrolled into one plan,
-where they share one exchange of the pairs; then the state (one row per group) goes to the
-checkpoint folder, and the loop ends early once every group has settled.
+The pairs are written once; each pass scans them where they lie, joined with the current per-group
+scale, and moves one partial sum per group and task. The three forms differ on purpose (start value,
+stop rule, clamp). A few passes are unrolled into one plan; then the state (one row per group) goes to
+the checkpoint folder, and the loop ends early once every group has settled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan.functions.columns import clamp, total
-from framespan.operators.joins import attach, group_count, spread
+from framespan.operators.joins import attach, group_count
 from framespan.operators.ranking import quantiles
 from framespan.session import cut
 
@@ -70,7 +70,7 @@ def irls_scale_points(
     groups: int | None = None,
 ) -> DataFrame:
     """Scale s minimising sum |s*src - dst|; starts from the least-squares scale."""
-    pairs = spread(pairs.select(*by, *src, *dst), by)
+    pairs = cut(pairs.select(*by, *src, *dst))
     cross = total([F.col(a) * F.col(b) for a, b in zip(src, dst)])
     square = total([F.col(a) * F.col(a) for a in src])
     start = pairs.groupBy(*by).agg(
@@ -96,7 +96,7 @@ def irls_scale_depth(
 ) -> DataFrame:
     """Same for depths; starts from the ratio of the means."""
     a, b = F.col(src), F.col(dst)
-    pairs = spread(pairs.select(*by, src, dst), by)
+    pairs = cut(pairs.select(*by, src, dst))
     start = pairs.groupBy(*by).agg(clamp(F.avg(b) / F.avg(a), clamp_min).alias("_s"), F.lit(False).alias("_done"))
     out = _irls(pairs, by, start, lambda s: F.abs(s * a - b), a * b, a * a, iters, stop_tol, clamp_min, groups)
     return out.select(*by, F.col("_s").alias("scale"), F.col("_done").alias("converged"))
@@ -113,7 +113,7 @@ def irls_scale_eval(
 ) -> DataFrame:
     """Evaluation form: always ``iters`` passes, one clamp at the end."""
     a, b = F.col(src), F.col(dst)
-    pairs = spread(pairs.select(*by, src, dst), by)
+    pairs = cut(pairs.select(*by, src, dst))
     start = pairs.groupBy(*by).agg((F.avg(b) / F.avg(a)).alias("_s"), F.lit(False).alias("_done"))
     out = _irls(pairs, by, start, lambda s: F.abs(s * a - b), a * b, a * a, iters, None, None, groups)
     return out.select(*by, clamp(F.col("_s"), final_min).alias("scale"))
@@ -136,7 +136,7 @@ def l1_scale_shift(
     """
     by = list(by)
     a, b = F.col(src), F.col(dst)
-    pairs = spread(pairs.select(*by, src, dst), by)
+    pairs = cut(pairs.select(*by, src, dst))
     rows = group_count(pairs, by) if groups is None else groups
     state = median_ratio(pairs, by, src, dst).select(*by, F.col("scale").alias("_s"), F.lit(0.0).alias("_t"))
     for done in range(1, iters + 1):

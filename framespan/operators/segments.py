@@ -9,11 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framespan.functions.columns import total
-from framespan.operators.graph import components
-from framespan.operators.grids import grid_edges, ramp_pixels
+from framespan.operators.grids import grid_edges
 from framespan.operators.joins import attach
-from framespan.operators.ranking import quantiles, ranked
+from framespan.operators.ranking import quantiles
 from framespan.operators.robust import irls_scale_depth
 
 FRAME = ("scene", "frame_id")
@@ -125,10 +123,70 @@ def merge_regions(px: DataFrame, thresholds: DataFrame | float, by: Sequence[str
     else:
         gaps = gaps.withColumn("threshold", F.lit(float(thresholds)))
     close = gaps.where(F.abs(F.col("_ma") - F.col("_mb")) < F.col("threshold"))
-    edges = close.select(F.struct(*by, F.col("_a").alias("seg")).alias("a"), F.struct(*by, F.col("_b").alias("seg")).alias("b"))
-    nodes = means.select(F.struct(*by, "seg").alias("node"))
-    merged = components(edges, nodes)
-    return merged.select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.seg").alias("seg"), F.col("component.seg").alias("merged"))
+    kind = px.schema["seg"].dataType.simpleString()
+    rows = means.select(*by, F.col("seg").alias("_a"), F.col("seg").alias("_b")).unionByName(close.select(*by, "_a", "_b"))
+    keys = ", ".join(f"`{c}` {px.schema[c].dataType.simpleString()}" for c in by)
+    return rows.groupBy(*by).applyInPandas(_merge_frame(by), f"{keys}, seg {kind}, merged {kind}")
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that edges (a, b) connect to each of ``n`` nodes: hooking and pointer jumping."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        live = root[a] != root[b]
+        a, b = a[live], b[live]
+    return root
+
+
+def _merge_frame(by: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Segments of one frame; a row with equal ends only names a segment."""
+        segs = np.unique(np.concatenate([pdf["_a"].to_numpy(), pdf["_b"].to_numpy()]))
+        root = _joined(len(segs), np.searchsorted(segs, pdf["_a"].to_numpy()), np.searchsorted(segs, pdf["_b"].to_numpy()))
+        keys = {c: [pdf[c].iloc[0]] * len(segs) for c in by}
+        return pd.DataFrame({**keys, "seg": segs, "merged": segs[root]})
+
+    return run
+
+
+def _segment_frame(threshold: float, values: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All pixels of one frame: a frame is bounded by the size of an image."""
+        pdf = pdf.sort_values(["v", "u"], kind="stable").reset_index(drop=True)
+        v, u = pdf["v"].to_numpy(np.int64), pdf["u"].to_numpy(np.int64)
+        x = pdf[values].to_numpy(float)
+        width = (u.max() - u.min() if len(u) else 0) + 2
+        place = (v - v.min()) * width + (u - u.min())
+
+        def beside(step: int) -> np.ndarray:
+            """Row number of the pixel ``step`` places on, or -1."""
+            at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+            return np.where(place[at] == place + step, at, -1)
+
+        steep = np.zeros(len(pdf), bool)
+        for step in (1, width):
+            ahead, behind = beside(step), beside(-step)
+            both = (ahead >= 0) & (behind >= 0)
+            square = ((x[ahead] - x[behind]) ** 2).sum(axis=1)
+            steep |= both & ~(square <= threshold * threshold)
+        ends = []
+        for step in (1, width):
+            ahead = beside(step)
+            alike = ((x - x[ahead]) ** 2).sum(axis=1) <= threshold * threshold
+            here = np.flatnonzero((ahead >= 0) & ~steep & ~steep[ahead] & alike)
+            ends.append((here, ahead[here]))
+        root = _joined(len(pdf), *(np.concatenate(e) for e in zip(*ends)))
+        label = np.cumsum(root == np.arange(len(root)))[root] - 1
+        return pdf.assign(seg=np.where(steep, -1, label).astype(np.int32))
+
+    return run
 
 
 def segment_pixels(px: DataFrame, threshold: float, by: Sequence[str] = FRAME, values: Sequence[str] = ("depth",)) -> DataFrame:
@@ -138,26 +196,9 @@ def segment_pixels(px: DataFrame, threshold: float, by: Sequence[str] = FRAME, v
     are dense from 0 in the order of the first pixel of each segment (steep pixels use up numbers).
     """
     by = list(by)
-    flagged = ramp_pixels(px, by, threshold, values)
-    square = total([F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in values])
-    pairs = grid_edges(flagged, by, ["v", "u", "ramp", *values]).where(
-        ~F.col("a_ramp") & ~F.col("b_ramp") & (square <= threshold * threshold)
-    )
-    edges = pairs.select(
-        F.struct(*by, F.col("a_v").alias("v"), F.col("a_u").alias("u")).alias("a"),
-        F.struct(*by, F.col("b_v").alias("v"), F.col("b_u").alias("u")).alias("b"),
-    )
-    joined = components(edges, flagged.select(F.struct(*by, "v", "u").alias("node")))
-    flat = joined.select(
-        *[F.col(f"node.{c}").alias(c) for c in (*by, "v", "u")],
-        F.col("component.v").alias("_rv"),
-        F.col("component.u").alias("_ru"),
-    )
-    roots = ranked(flat.select(*by, "_rv", "_ru").distinct(), by, [F.col("_rv"), F.col("_ru")], "_label")
-    labelled = flat.join(roots, [*by, "_rv", "_ru"]).join(flagged, [*by, "v", "u"])
-    return labelled.select(
-        *by, "v", "u", *values, F.when(F.col("ramp"), F.lit(-1)).otherwise(F.col("_label") - 1).cast("int").alias("seg")
-    )
+    px = px.select(*by, "v", "u", *values)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.schema.fields)
+    return px.groupBy(*by).applyInPandas(_segment_frame(threshold, list(values)), f"{fields}, seg int")
 
 
 # --- layer-wise scale ------------------------------------------------------------------------

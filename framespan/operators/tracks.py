@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framespan.operators.cameras import reproject
 from framespan.operators.ranking import ranked
+from framespan.session import cut
 
 SCENE = ("scene",)
 
@@ -55,14 +56,14 @@ def observations(
         good = good & F.col("mask")
     if max_error is not None:
         good = good & (F.col("zc") > 0) & (F.col("error") < max_error)
-    flagged = obs.withColumn("_good", F.coalesce(good, F.lit(False)))
+    flagged = cut(obs.withColumn("_good", F.coalesce(good, F.lit(False))))
     per_frame = cams.select(*by, "frame_id").join(
         flagged.where("_good").groupBy(*by, "frame_id").agg(F.count(F.lit(1)).alias("_n")), [*by, "frame_id"], "left"
     )
     weakest = per_frame.groupBy(*by).agg(F.min(F.coalesce("_n", F.lit(0))).alias("min_inliers"))
     rejected = weakest.where(F.col("min_inliers") < min_per_frame)
     kept_scenes = weakest.where(F.col("min_inliers") >= min_per_frame).select(*by)
-    inliers = flagged.where("_good").join(kept_scenes, by, "left_semi")
+    inliers = cut(flagged.where("_good").join(kept_scenes, by, "left_semi"))
     counts = inliers.groupBy(*by, "track_id").agg(F.count(F.lit(1)).alias("n_inliers")).where(F.col("n_inliers") >= min_per_track)
     numbered = ranked(counts, by, [F.col("track_id")], "point_id")
     out_points = numbered.join(points, [*by, "track_id"])
