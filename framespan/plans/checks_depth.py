@@ -94,7 +94,7 @@ def align_median(spark, sf):
     return rounded(RB.align(valid_pairs(spark, sf), ["seq"], "median"), ["scale"], 8)
 
 
-def _lad_sql(iters: int = 5) -> str:
+def _lad_sql(iters: int = 10) -> str:
     out = [
         """r AS (SELECT seq, gt, pred, row_number() OVER (PARTITION BY seq ORDER BY gt) AS a, row_number() OVER (PARTITION BY seq ORDER BY pred) AS b,
  count(*) OVER (PARTITION BY seq) AS n FROM vp)""",
@@ -109,9 +109,9 @@ def _lad_sql(iters: int = 5) -> str:
     return ",\n".join(out)
 
 
-@query("align_l1_scale_shift", f"WITH {VALID_SQL}, {_lad_sql()} SELECT seq, round(s, 4) AS scale, round(t, 0) AS shift FROM l5")
+@query("align_l1_scale_shift", f"WITH {VALID_SQL}, {_lad_sql()} SELECT seq, round(s, 4) AS scale, round(t, 0) AS shift FROM l10")
 def align_l1_scale_shift(spark, sf):
-    return rounded(RB.l1_scale_shift(valid_pairs(spark, sf), ["seq"], iters=5), ["scale", "shift"])
+    return rounded(RB.l1_scale_shift(valid_pairs(spark, sf), ["seq"]), ["scale", "shift"])
 
 
 METRIC_SQL = """abs(p - gt) / gt AS e1, (p - gt) * (p - gt) / gt AS e2, (p - gt) * (p - gt) AS e3,
@@ -119,22 +119,21 @@ METRIC_SQL = """abs(p - gt) / gt AS e1, (p - gt) * (p - gt) / gt AS e2, (p - gt)
 METRIC_AGG = """round(coalesce(avg(e1), 0), 4) AS abs_rel, round(coalesce(avg(e2), 0), 0) AS sq_rel, round(coalesce(sqrt(avg(e3)), 0), 0) AS rmse,
  round(coalesce(sqrt(avg(e4)), 0), 4) AS log_rmse, round(coalesce(avg(CASE WHEN ratio < 1.25 THEN 1.0 ELSE 0.0 END), 0), 4) AS d1,
  round(coalesce(avg(CASE WHEN ratio < 1.5625 THEN 1.0 ELSE 0.0 END), 0), 4) AS d2, round(coalesce(avg(CASE WHEN ratio < 1.953125 THEN 1.0 ELSE 0.0 END), 0), 4) AS d3"""
-# Late passes sit on single data points and amplify summation order, so metrics use four passes.
-SHORT_SQL = irls_sql("vp", "seq", "avg(gt) / avg(pred)", "abs({s} * pred - gt)", "pred * gt", "pred * pred", 4)
+SCALE_SQL = irls_sql("vp", "seq", "avg(gt) / avg(pred)", "abs({s} * pred - gt)", "pred * gt", "pred * pred")
 
 
-def short_alignment(spark, sf):
-    return RB.irls_scale_eval(valid_pairs(spark, sf), ["seq"], iters=4).withColumn("shift", F.lit(0.0))
+def alignment(spark, sf):
+    return RB.irls_scale_eval(valid_pairs(spark, sf), ["seq"]).withColumn("shift", F.lit(0.0))
 
 
-SCALED_SQL = f"""{VALID_SQL}, {SHORT_SQL},
-al AS (SELECT dataset, seq, gt, greatest(s, 1e-3) * pred AS p FROM vp JOIN s4 USING (seq)), er AS (SELECT dataset, seq, gt, p, {METRIC_SQL} FROM al)"""
+SCALED_SQL = f"""{VALID_SQL}, {SCALE_SQL},
+al AS (SELECT dataset, seq, gt, greatest(s, 1e-3) * pred AS p FROM vp JOIN s10 USING (seq)), er AS (SELECT dataset, seq, gt, p, {METRIC_SQL} FROM al)"""
 
 
 @query("depth_metrics", f"WITH {SCALED_SQL} SELECT dataset, seq, {METRIC_AGG}, count(*) AS valid_pixels FROM er GROUP BY dataset, seq")
 def depth_metrics(spark, sf):
     pairs = depth_pairs(spark, sf)
-    fit = short_alignment(spark, sf).withColumn("dataset", F.col("seq") % 5)
+    fit = alignment(spark, sf).withColumn("dataset", F.col("seq") % 5)
     out = M.depth_metrics(pairs, ["dataset", "seq"], fit, max_depth=MAX_DEPTH)
     return rounded(out, M.DEPTH_METRICS)
 
@@ -188,7 +187,7 @@ SELECT dataset, seq, round(sum(abs_rel * valid_pixels) / sum(valid_pixels), 4) A
  CAST(sum(valid_pixels) AS BIGINT) AS valid_pixels FROM m GROUP BY ROLLUP (dataset, seq)""",
 )
 def weighted_rollup(spark, sf):
-    fit = short_alignment(spark, sf).withColumn("dataset", F.col("seq") % 5)
+    fit = alignment(spark, sf).withColumn("dataset", F.col("seq") % 5)
     metrics = M.depth_metrics(depth_pairs(spark, sf), ["dataset", "seq"], fit, max_depth=MAX_DEPTH)
     return rounded(M.weighted_rollup(metrics, names=["abs_rel", "rmse"]), ["abs_rel", "rmse"])
 

@@ -278,14 +278,15 @@ def confident_points(spark, sf):
 
 @query(
     "filter_background",
-    """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS r, l_linenumber * 3 AS g, CAST(l_discount * 100 AS INT) AS b
-FROM lineitem WHERE CAST(l_quantity AS INT) + l_linenumber * 3 + CAST(l_discount * 100 AS INT) >= 16
- AND NOT (CAST(l_quantity AS INT) * 5 > 240 AND l_linenumber * 3 > 240)""",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) * 5 AS r, (l_linenumber - 1) * 42 AS g,
+  CASE WHEN l_linenumber > 1 THEN 240 ELSE 0 END + CAST(round(l_discount * 100) AS INT) AS b FROM lineitem)
+SELECT * FROM p WHERE r + g + b >= 16 AND NOT (r > 240 AND g > 240 AND b > 240)""",
 )
 def filter_background(spark, sf):
+    """First lines are dark, last lines of large orders bright: both rules drop rows."""
+    blue = F.when(F.col("l_linenumber") > 1, 240).otherwise(0) + F.round(F.col("l_discount") * 100).cast("int")
     li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("r"), (F.col("l_linenumber") * 3).alias("g"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("b"),
+        "l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") * 5).alias("r"), ((F.col("l_linenumber") - 1) * 42).alias("g"), blue.alias("b")
     )
     return FL.filter_background(li, black=True, white=True)
 
@@ -358,13 +359,16 @@ def clean_depth(spark, sf):
 
 @query(
     "scale_to_byte",
-    f"""WITH {PIXELS_SQL}, m AS (SELECT frame_id, min(depth) AS lo, max(depth) AS hi FROM px GROUP BY 1)
-SELECT frame_id, v, u, CAST(trunc((depth - lo) / (hi - lo) * 255.0) AS INT) AS scaled FROM px JOIN m USING (frame_id) WHERE hi > lo""",
+    f"""WITH {PIXELS_SQL}, f AS (SELECT frame_id, v, u, CASE WHEN frame_id % 7 = 3 THEN 1.5 ELSE depth END AS depth FROM px),
+m AS (SELECT frame_id, min(depth) AS lo, max(depth) AS hi FROM f GROUP BY 1)
+SELECT frame_id, v, u, CASE WHEN hi > lo THEN CAST(trunc((depth - lo) / (hi - lo) * 255.0) AS INT) ELSE 0 END AS scaled FROM f JOIN m USING (frame_id)""",
 )
 def scale_to_byte(spark, sf):
-    cell = F.struct((F.col("v") * 16 + F.col("u")).alias("i"), F.col("depth"))
+    """Every seventh frame is flat."""
+    depth = F.when(F.col("frame_id") % 7 == 3, 1.5).otherwise(F.col("depth"))
+    cell = F.struct((F.col("v") * 16 + F.col("u")).alias("i"), depth.alias("depth"))
     rasters = pixels(spark, sf).groupBy("frame_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     rasters = rasters.select("frame_id", F.transform("cells", lambda c: c["i"]).alias("at"), F.transform("cells", lambda c: c["depth"]).alias("depth"))
-    out = FL.scale_to_byte(rasters.where(F.array_max("depth") > F.array_min("depth")))
+    out = FL.scale_to_byte(rasters)
     flat = out.select("frame_id", F.explode(F.arrays_zip("at", "scaled")).alias("p"))
     return flat.select("frame_id", F.floor(F.col("p.at") / 16).alias("v"), (F.col("p.at") % 16).alias("u"), F.col("p.scaled").alias("scaled"))

@@ -238,7 +238,8 @@ def ransac_sim3(spark, sf):
 # --- poses: rotation about z and x per line item, planted rigid motion per supplier -----------------
 
 
-def pose_pairs(spark, sf):
+def pose_pairs(spark, sf, tilt: bool = False):
+    """Poses about z; with ``tilt`` also about x, so that viewing directions spread."""
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
     a = F.col("l_quantity") / 10
     c, s, z = F.cos(a), F.sin(a), F.lit(0.0)
@@ -247,6 +248,10 @@ def pose_pairs(spark, sf):
         F.array(c, -s, z, s, c, z, z, z, F.lit(1.0)).alias("src_r"),
         C.vec(F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_extendedprice") / 20000).alias("src_t"),
     ).withColumn("g", planted(F.col("seq")))
+    if tilt:
+        b = F.col("l_linenumber") * 0.4 + F.col("l_orderkey") % 7 / 10
+        about_x = F.array(F.lit(1.0), z, z, z, F.cos(b), -F.sin(b), z, F.sin(b), F.cos(b))
+        base = base.withColumn("src_r", C.mat_mul("src_r", about_x))
     return base.select(
         "seq", "src_r", "src_t", C.mat_mul("g.r", "src_r").alias("dst_r"), F.array(*C.sim3_apply("g", C.components("src_t"))).alias("dst_t")
     )
@@ -272,11 +277,10 @@ def register_poses(spark, sf):
     return _pose_out(RG.register_poses(pairs, ["seq"], _scales(pairs)))
 
 
-@query("register_views")
+@query("register_views", PLANTED_SQL)
 def register_views(spark, sf):
-    """Viewing directions of rotations about z are all alike, so only the status is informative here."""
-    pairs = pose_pairs(spark, sf)
-    return RG.register_views(pairs, ["seq"], _scales(pairs)).select("seq", "n", "status")
+    pairs = pose_pairs(spark, sf, tilt=True)
+    return _pose_out(RG.register_views(pairs, ["seq"], _scales(pairs)))
 
 
 # --- transform chains -------------------------------------------------------------------------------
