@@ -39,6 +39,24 @@ def nearest(spark, sf):
     return out.select("cloud", "pid", "ref_pid", F.round("distance", 8).alias("distance"))
 
 
+FAR_SQL = """far AS (SELECT cloud, pid, CASE WHEN pid % 97 = 5 THEN x * 1e9 WHEN pid % 3 = 1 THEN 0.25 ELSE x END AS x,
+  CASE WHEN pid % 97 <> 5 AND pid % 3 = 1 THEN 0.5 ELSE y END AS y, CASE WHEN pid % 97 <> 5 AND pid % 3 = 1 THEN 0.125 ELSE z END AS z, nx, ny, nz FROM b)"""
+
+
+@query(
+    "nearest_outliers",
+    f"WITH {cloud_sql('a', 0)}, {cloud_sql('b', 3)}, {FAR_SQL}, {nearest_sql('af', 'a', 'far')} SELECT cloud, pid, ref_pid, round(distance, 8) AS distance FROM af",
+)
+def nearest_outliers(spark, sf):
+    """A few reference points lie a billion times farther out than the rest, and a third are copies of one position."""
+    out, copy = F.col("pid") % 97 == 5, (F.col("pid") % 97 != 5) & (F.col("pid") % 3 == 1)
+    far = cloud(spark, sf, 3).withColumns(
+        {"x": F.when(out, F.col("x") * 1e9).when(copy, 0.25).otherwise(F.col("x")), "y": F.when(copy, 0.5).otherwise(F.col("y")), "z": F.when(copy, 0.125).otherwise(F.col("z"))}
+    )
+    found = CL.knn(cloud(spark, sf, 0), far, 1, ["cloud"], leaf=8)
+    return found.select("cloud", "pid", "ref_pid", F.round("distance", 8).alias("distance"))
+
+
 @query(
     "knn",
     f"""WITH {cloud_sql('a', 0)}, {cloud_sql('b', 3)} SELECT q.pid, r.pid AS ref_pid, row_number() OVER (PARTITION BY q.pid ORDER BY pow(q.x-r.x,2)+pow(q.y-r.y,2)+pow(q.z-r.z,2), r.pid) AS rank
