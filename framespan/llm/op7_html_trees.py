@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framespan.llm.common import cut
 from framespan.llm.html_dom import HIDDEN, Dom, joined, parse
 
 SAMPLE_PAGES, TRAIN_PAGES = 200, 800
