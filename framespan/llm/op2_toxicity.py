@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BITS = 22
 #: Bound of the training sample, in documents.
 MAX_LABELLED = 30_000
 PASSES = 5
+#: Files of the stored sample.
+PARTS = 8
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.01
 #: A pair or skip counts as this much of a word.
 PAIR_VALUE = 0.3
@@ -118,12 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = usable.count()
     if n > max_labelled:
         usable = usable.where(share < int(1_000_000 * max_labelled / n))
-    usable = cut(usable)
+    # about max_labelled narrow rows at most, so this broadcast is bounded and no text moves but the sample's
+    usable = F.broadcast(cut(usable))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    joined = texts.join(usable.hint("shuffle_hash"), "_id").select("_t", "label", F.xxhash64(F.lit(12), "_id").alias("place"))
+    joined = texts.join(usable, "_id").select("_t", "label", F.xxhash64(F.lit(12), "_id").alias("place"))
     features = joined.mapInArrow(_features, "words binary, pairs binary, label int, place long")
-    repeated = features.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(passes)))).withColumn("place", F.xxhash64("turn", "place"))
-    return cut(repeated.repartition(1).sortWithinPartitions("turn", "place").select("words", "pairs", "label").mapInArrow(_train, "at long, weight double"))
+    stored = cut(features.repartition(PARTS, "place").sortWithinPartitions("place").select("words", "pairs", "label"))
+    # one task reads the stored features once for each pass
+    repeated = reduce(DataFrame.unionAll, [stored] * passes).coalesce(1)
+    return cut(repeated.mapInArrow(_train, "at long, weight double"))
 
 
 def _score(model):
