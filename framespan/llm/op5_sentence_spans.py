@@ -75,8 +75,8 @@ def _hash_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def flush() -> pa.RecordBatch:
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            own = batch.take(pa.array(rows, pa.int64()))
-            return pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(first, pa.int32()), pa.array(after, pa.int32())], names=names)
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[1:]], pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(first, pa.int32()), pa.array(after, pa.int32())], names=names)
 
         for row, text in enumerate(batch.column(0)):
             text = text.as_py()
