@@ -31,6 +31,7 @@ from framespan.llm.common import cut, packed, row_key, unpacked
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+SALTS = 32
 #: The white space that a key loses at both ends.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -123,7 +124,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut(lines.repartitionByRange(*order).sortWithinPartitions(*order, "_pos").mapInArrow(_settle(min_docs), _FOUND))
     open_rows = found.where("not _settled")
     frequent = open_rows.groupBy("_h0", "_h1").agg(F.sum("_starts").alias("_n")).where(F.col("_n") >= min_docs).select("_h0", "_h1")
-    lost = found.where("_settled").select("_k0", "_k1", "_pos").unionAll(open_rows.join(frequent, ["_h0", "_h1"], "left_semi").select("_k0", "_k1", "_pos"))
+    # a line that very many documents hold has most of its rows here: both sides of the join are salted
+    frequent = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = open_rows.withColumn("_salt", F.pmod(F.col("_k0"), F.lit(SALTS)).cast("int"))
+    late = salted.join(frequent, ["_h0", "_h1", "_salt"], "left_semi")
+    lost = found.where("_settled").select("_k0", "_k1", "_pos").unionAll(late.select("_k0", "_k1", "_pos"))
     places = lost.groupBy("_k0", "_k1").agg(F.collect_set("_pos").alias("_places"))
     return places.mapInArrow(_to_bitmaps, "_k0 long, _k1 long, keep binary")
 
