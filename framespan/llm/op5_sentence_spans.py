@@ -1,11 +1,15 @@
 """Substring deduplication with sliding spans of sentences.
 
-Texts are cut into sentences (after . ! ? … and white space, and at line ends). From every sentence a span
-starts: the following sentences up to ``SENTENCES`` of them and ``SPAN_WORDS`` words, or fewer
-sentences once they hold ``LONG_WORDS`` words. A span's end depends on its own text only, so a passage gives
-the same spans wherever it stands. All spans are hashed and joined globally; the first
-occurrence (by document, then position) of each hash stays, and every sentence that another occurrence
-covers is removed, with the white space after it.
+Texts are cut into sentences (after . ! ? … and white space, and at line ends). A run of consecutive sentences
+counts from ``SENTENCES`` of them and ``SPAN_WORDS`` words on, from two and ``PAIR_WORDS``, or from ``LONG_WORDS``.
+The first occurrence (by document, then position) of each such run stays, and every sentence that another
+occurrence covers is removed, with the white space after it.
+
+Hashed are the shortest run that starts at each sentence and the shortest run that ends at each. They settle
+all longer runs: take a sentence s of a run from i to j. If the sentences from i to s count, so does the
+shortest run that ends at s, and it starts at i or later; if not, the shortest run from i reaches beyond s and ends
+at j or earlier. So s lies in a hashed part of the run, which repeats where the run does. Runs are equal when
+their words are; where the same words are broken into sentences elsewhere, hashed runs must begin and end alike.
 
 Words are compared as ``words_of`` gives them, so case and punctuation do not matter. Hash counts combine
 before they move; only hashes that repeat are joined back, and a passage that a third of all documents
@@ -22,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,44 +57,58 @@ def sentences(text: str | None) -> list[tuple[int, int, int]]:
     return [s for s in out if s[1] > s[0]]
 
 
-def spans(words: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """(first, after last) sentence of the span that starts at each sentence, where there is one."""
-    n = [len(w) for w in words]
-    for i in range(len(n)):
-        total = 0
-        for j in range(i, len(n)):
-            total += n[j]
-            many = j - i + 1
-            if (many >= SENTENCES and total >= SPAN_WORDS) or (many >= 2 and total >= PAIR_WORDS) or total >= LONG_WORDS:
-                yield i, j + 1
-                break
+def spans(words: list[list[bytes]]) -> list[tuple[int, int]]:
+    """(first, after last) sentence of the shortest span that starts, and that ends, at each sentence, where there is one."""
+    upto = [0, *accumulate(len(w) for w in words)]
+
+    def counts(i: int, j: int) -> bool:
+        many, total = j - i, upto[j] - upto[i]
+        return (many >= SENTENCES and total >= SPAN_WORDS) or (many >= 2 and total >= PAIR_WORDS) or total >= LONG_WORDS
+
+    found, i, j = set(), 0, 0
+    for first in range(len(words)):
+        while j <= len(words) and not counts(first, j):
+            j += 1
+        if j > len(words):
+            break
+        found.add((first, j))
+    for after in range(1, len(words) + 1):
+        while counts(i + 1, after):
+            i += 1
+        if counts(i, after):
+            found.add((i, after))
+    return sorted(found)
 
 
-_SPANS = "_k0 long, _k1 long, _id long, _h0 long, _h1 long, _first int, _after int"
+#: ``_skip``: sentences without a word at the start of the span; with them or not, it is the same occurrence.
+_SPANS = "_k0 long, _k1 long, _id long, _h0 long, _h1 long, _first int, _after int, _skip int"
 
 
 def _hash_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SPANS.split(", ")]
     for batch in batches:
-        digests, rows, first, after = [], [], [], []
+        digests, rows, first, after, skip = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             at = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[1:]], pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(first, pa.int32()), pa.array(after, pa.int32())], names=names)
+            return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[1:]], pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(skip, pa.int32())], names=names)
 
         for row, text in enumerate(batch.column(0)):
             text = text.as_py()
             words = [words_of(text[a:b]) for a, b, _ in sentences(text)]
-            joined = [b" ".join(w) for w in words]
+            at = [k for k, w in enumerate(words) if w]
+            joined = [b" ".join(words[k]) for k in at]
+            before = [0, *accumulate(bool(w) for w in words)]
             for i, j in spans(words):
-                digests.append(hashlib.md5(b" ".join(joined[i:j])).digest())
+                digests.append(hashlib.md5(b" ".join(joined[before[i] : before[j]])).digest())
                 rows.append(row)
                 first.append(i)
                 after.append(j)
+                skip.append(at[before[i]] - i)
             if len(rows) > 200_000:
                 yield flush()
-                digests, rows, first, after = [], [], [], []
+                digests, rows, first, after, skip = [], [], [], [], []
         if rows:
             yield flush()
 
@@ -98,7 +117,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(_k0, _k1, lost): sentence numbers that a non-first occurrence of a span covers, per document."""
     keyed = docs.select(F.col(text_col).cast("string").alias("_t"), *row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col).cast("long").alias("_id"))
     found = cut(keyed.mapInArrow(_hash_spans, _SPANS))
-    place = F.struct("_id", "_k0", "_k1", "_first")
+    place = F.struct("_id", "_k0", (F.col("_first") + F.col("_skip")).alias("_word"))
     many = cut(found.groupBy("_h0", "_h1").agg(F.min(place).alias("_at"), F.max(place).alias("_to")).where("_at <> _to").select("_h0", "_h1", "_at"))
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("_k0", "_first"), F.lit(SALTS)).cast("int"))
     copies = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

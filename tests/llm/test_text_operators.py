@@ -221,6 +221,44 @@ def test_sentence_spans(spark, awkward, empty):
     assert op5_sentence_spans.dedup(empty).count() == 0
 
 
+def brute_runs_removed(rows):
+    """Sentences that a non-first occurrence of any run covers: every run of every length, by its own rule."""
+    cut = {doc: [words(x) for x in re.split(r"(?<=[.!?])\s+|\n", text)] for doc, text in rows}
+    runs = [(doc, i, j) for doc, found in cut.items() for i in range(len(found)) for j in range(i + 1, len(found) + 1)]
+    seen = {}
+    for doc, i, j in runs:
+        run = [w for s in cut[doc][i:j] for w in s]
+        if len(run) >= 45 or (j - i >= 2 and len(run) >= 30) or (j - i >= 3 and len(run) >= 16):
+            start = next(k for k in range(i, j) if cut[doc][k])
+            seen.setdefault(" ".join(run), []).append((doc, start, i, j))
+    lost = {doc: set() for doc in cut}
+    for places in seen.values():
+        for doc, start, i, j in places:
+            if (doc, start) != min(places)[:2]:
+                lost[doc].update(range(i, j))
+    return {doc: len(x) for doc, x in lost.items()}
+
+
+def test_sentence_spans_every_run(spark):
+    r = random.Random(5)
+    mixes = [(45, 44), (46, 20, 9), (25, 20, 15, 6), (44, 3, 1), (2, 2, 2, 2, 2, 2, 2, 2, 1), (29, 1, 14, 30, 5), (1, 46, 1)]
+    passages = [" ".join(sentence(r, n) for n in mix) for mix in mixes]
+    rows = []
+    for doc in range(60):
+        own = [sentence(r, r.choice([1, 3, 7, 14, 31, 47])) for _ in range(r.randint(2, 9))]
+        own.insert(r.randint(0, len(own)), passages[doc % len(passages)])
+        rows.append((doc, " ".join(own)))
+    bare = "***\n" + sentence(r, 50)
+    rows += [(60, bare), (61, bare + "\n---"), (62, "\n".join([sentence(r, 8), "***", sentence(r, 9)]))]
+    got = {g.doc_id: g for g in op5_sentence_spans.dedup(table(spark, rows)).collect()}
+    assert {d: g.n_removed for d, g in got.items()} == brute_runs_removed(rows)
+    for k, mix in enumerate(mixes):
+        for tail in re.split(r"(?<=\.) ", passages[k]):
+            if sum(mix) > 45 and len(words(tail)) > 4:
+                assert [d for d, g in sorted(got.items()) if tail in g.text] == [k]
+    assert got[60].text == bare and got[61].text == ""
+
+
 # --- decontamination ---------------------------------------------------------------------------------
 
 
