@@ -23,17 +23,28 @@ def _without(docs: DataFrame, lost: DataFrame, once: bool = False) -> DataFrame:
     return (kept.dropDuplicates(["_k0", "_k1"]) if once else kept).select("row.*")
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, as one struct ``row``, all columns but the text: none can clash with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _columns(narrow: DataFrame, columns: list[str]) -> DataFrame:
+    """Undo ``_narrow``: exactly the given columns, in their order, with the text as it is now."""
+    return narrow.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents scored as toxic; the model learns from labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = op2_toxicity.train(docs, labels, learn_from=~op2_toxicity.held_out(F.col("_id")))
-    return op2_toxicity.score(docs, weights).where(F.col("score") < op2_toxicity.THRESHOLD).drop("score")
+    scored = op2_toxicity.score(_narrow(docs), weights)
+    return _columns(scored.where(F.col("score") < op2_toxicity.THRESHOLD), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that ten documents or more share; a document stays, with the length of what is left."""
-    cleaned = op9_line_dedup.drop_lines(docs).drop("n_lines", "n_dropped")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    """Cut lines that ten documents or more share; a document stays, with the length of what is left in ``n_chars`` if there is one."""
+    cleaned = _columns(op9_line_dedup.drop_lines(_narrow(docs)), docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from framespan.llm import op2_toxicity
 from tests.llm.test_text_operators import AWKWARD, brute_links, component, table
@@ -50,6 +52,17 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    added = ["score", "n_lines", "n_dropped", "row", "_rest", "kept", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")
+    docs = docs.select(*[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in added], *docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in added), name
+
+
 def test_held_out_rows_do_not_teach(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     held = [r.doc_id for r in labels.where(op2_toxicity.held_out(labels.doc_id)).collect()]
