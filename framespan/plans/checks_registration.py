@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framespan.functions import columns as C
 from framespan.operators import graph as G
+from framespan.operators import ranking as K
 from framespan.operators import registration as RG
 from framespan.operators import trajectory as TR
 from framespan.operators import windows as W
@@ -223,6 +224,18 @@ def align_point_maps(spark, sf):
     return fit_rounded(fits, "seq")
 
 
+@query("align_point_maps_robust")
+def align_point_maps_robust(spark, sf):
+    """The default robust fit on all rows: repeated keys become pixels by their position within the key; checked against brute force in the tests."""
+    keys = ["l_orderkey", "l_linenumber", "nth"]
+    order = [F.col(c) for c in ("sx", "sy", "sz", "dx", "dy", "dz")]
+    pairs = K.ranked(point_pairs(spark, sf, noise()), ["seq", *keys[:2]], order, "nth")
+    a = pairs.select("seq", *keys, F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"), ((F.col("l_orderkey") % 10) / 10.0).alias("conf"))
+    b = pairs.select("seq", *keys, F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), ((F.col("l_orderkey") % 7) / 7.0).alias("conf"))
+    fits, _ = RG.align_point_maps(a, b, 0.3, ["seq"], keys)
+    return fit_rounded(fits, "seq")
+
+
 @query(
     "ransac_sim3",
     f"""WITH {POINTS_SQL}, i AS (SELECT * FROM exact WHERE l_orderkey % 5 > 0)

@@ -203,6 +203,29 @@ def test_robust_fit_matches_the_sequential_rule(spark):
     assert np.isclose(out.s, fit[0]) and np.allclose(out.r, fit[1].reshape(-1)) and np.allclose(out.t, fit[2])
 
 
+def test_align_point_maps_robust_keeps_every_row(spark):
+    from framespan.plans.checks_registration import align_point_maps_robust, noise, point_pairs
+
+    rows = point_pairs(spark, "/root/testdata/sf0.01", noise()).toPandas().query("seq <= 5")
+    ca, cb = rows.l_orderkey % 10 / 10.0, rows.l_orderkey % 7 / 7.0
+    rows = rows.assign(w=np.sqrt(ca * cb))[(ca > 0.3) & (cb > 0.3)]
+    got = {g.seq: g for g in align_point_maps_robust(spark, "/root/testdata/sf0.01").where("seq <= 5").collect()}
+    assert set(got) == set(rows.seq)
+    for seq, part in rows.groupby("seq"):
+        x, y, w = part[["sx", "sy", "sz"]].to_numpy(float), part[["dx", "dy", "dz"]].to_numpy(float), part.w.to_numpy(float)
+        fit, err = _weighted_fit(x, y, w), np.inf
+        for _ in range(20):
+            res = np.linalg.norm(y - fit[0] * x @ fit[1].T - fit[2], axis=1)
+            new = _weighted_fit(x, y, w * np.where(res > 0.1, 0.1 / res, 1.0))
+            now = (np.where(res <= 0.1, 0.5 * res**2, 0.1 * (res - 0.05)) * w).sum()
+            change = abs(new[0] - fit[0]) + np.linalg.norm(new[2] - fit[2])
+            if change < 1e-9 or abs(err - now) < 1e-9 * err:
+                break
+            fit, err = new, now
+        assert got[seq].n == len(part)
+        assert np.allclose(got[seq].s, fit[0], atol=1e-5) and np.allclose(got[seq].r, fit[1].reshape(-1), atol=1e-5) and np.allclose(got[seq].t, fit[2], atol=1e-4)
+
+
 def test_inverse_and_chain(spark):
     r = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
     df = spark.range(40).select(F.lit("s").alias("scene"), F.col("id").alias("node"), C.sim3(F.lit(1.01), F.array(*[F.lit(v) for v in r]), C.vec(F.col("id") * 1.0, F.lit(1.0), F.lit(0.0))).alias("sim3"))
