@@ -18,6 +18,9 @@ from framespan.llm import (
     op8_mixing,
     op9_line_dedup,
     op10_warc,
+    op11_token_counts,
+    op12_whitening,
+    op13_divergence,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +161,45 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
 @query("op10_warc", OP10_SQL)
 def warc(spark: SparkSession, sf: str) -> DataFrame:
     return op10_warc.archive(table(spark, sf, "pages"))
+
+
+@query("op11_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = op11_token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op12_whitening")
+def whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return op12_whitening.whitening_report(table(spark, sf, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+n AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(c) AS HUGEINT) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS total FROM n GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c, k.c AS all_c, v.v, v.total AS all_total,
+        1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n.c, 0) + 1)) // (coalesce(s.total, 0) + v.v) AS p
+      FROM g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN totals s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+q AS (SELECT *, 1 + (CAST(1000000000 AS HUGEINT) * (all_c + 1)) // (all_total + v) AS q FROM p WHERE c > 0),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM q WHERE p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_divergence", OP13_SQL)
+def divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_divergence.audit(table(spark, sf, "documents"))
