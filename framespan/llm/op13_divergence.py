@@ -1,9 +1,9 @@
 """Source divergence audit: how far the term frequencies of each source lie from those of its language and of other sources.
 
-Counting, grouping and joining use 128-bit digests of the terms only, so a shuffled row has one width whatever
-the term. Strings come in late: the dictionary aggregation takes the smallest and the largest string of each digest, and where these
-differ the digest stands for several terms and is split (its terms go on under digest and text); text is joined back to the
-terms of the report alone.
+Counting, grouping and joining use 64-bit digests of the terms only, so a shuffled row has one width whatever
+the term. One aggregation by language and digest finds the terms that enough documents hold; it also takes the smallest and the
+largest string of each digest, and where these differ the digest stands for several terms and is split (its terms are
+counted under digest and text from there on). Text is joined back to the terms of the report alone.
 
 Tasks count terms by (lang, source) before anything is shuffled and write these partial counts once. A term is kept in a language
 with at least ``least_docs`` of its documents. Smoothed probabilities are whole numbers in units of 1e-9, and all sums are
@@ -45,8 +45,8 @@ RANK_SALTS = 64
 
 #: All bytes that are neither ASCII letters nor part of a non-ASCII character become spaces, A-Z become a-z.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("fresh", pa.bool_())])
-KEY = ["d0", "d1", "alt"]
+_PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+KEY = ["digest", "alt"]
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -55,16 +55,13 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs, fresh): counts of a task; ``fresh`` marks one row per term of what it holds at a time."""
+    """(lang, source, term, n, docs): the counts of what a task holds at a time."""
 
     def flush(n: dict, seen: dict) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
         for (lang, source), counts in n.items():
             terms = list(counts)
             for part in (terms[at : at + 50_000] for at in range(0, len(terms), 50_000)):
-                fresh = [t not in known for t in part]
-                known.update(part)
-                columns = [[lang] * len(part), [source] * len(part), [t.decode("utf-8", "replace") for t in part], [counts[t] for t in part], [seen[lang, source][t] for t in part], fresh]
+                columns = [[lang] * len(part), [source] * len(part), [t.decode("utf-8", "replace") for t in part], [counts[t] for t in part], [seen[lang, source][t] for t in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTIAL)], schema=_PARTIAL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,32 +76,37 @@ def partial_counts(docs: DataFrame) -> DataFrame:
                 n, seen = defaultdict(Counter), defaultdict(Counter)
         yield from flush(n, seen)
 
-    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long, fresh boolean")
+    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
-def digests(term: Column, bits: int = 128) -> list[Column]:
-    """Two 64-bit digests; fewer ``bits`` make collisions, for tests."""
-    if bits == 128:
-        return [F.xxhash64(F.lit(1), term).alias("d0"), F.xxhash64(F.lit(2), term).alias("d1")]
-    return [F.pmod(F.xxhash64(F.lit(1), term), F.lit(2**bits)).alias("d0"), F.lit(0).cast("long").alias("d1")]
+def digest(term: Column, bits: int = 64) -> Column:
+    """A 64-bit digest; fewer ``bits`` make collisions, for tests."""
+    return F.xxhash64(term) if bits == 64 else F.pmod(F.xxhash64(term), F.lit(2**bits))
 
 
-def split_collisions(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``alt``: '' where a digest has one term, the term itself where it has several."""
-    strings = counts.where("fresh").groupBy("d0", "d1").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-    shared, path = stored(strings.where("low <> high").select("d0", "d1", F.lit(True).alias("several")), "collisions")
-    size = shared.count()
-    if not size:
-        remove(counts.sparkSession, path)
-        return counts.withColumn("alt", F.lit(""))
-    marked = attach(counts, shared, ["d0", "d1"], size, "left")
-    return marked.withColumn("alt", F.when(F.col("several"), F.col("term")).otherwise("")).drop("several")
+def kept_terms(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The kept terms (lang, digest, alt, c, term) and ``counts`` with ``alt``: '' where a digest has one term, else the term itself."""
+    held = [F.sum("docs").alias("docs"), F.sum("n").alias("c"), F.min("term").alias("term")]
+    by_digest = counts.groupBy("lang", "digest").agg(*held, F.max("term").alias("high")).where(F.col("docs") >= least_docs)
+    by_digest, _ = stored(by_digest, "digests")
+    several = by_digest.where("term <> high").select("lang", "digest", F.lit(True).alias("several"))
+    n_several = several.count()
+    one = by_digest.where("term = high").select("lang", "digest", F.lit("").alias("alt"), "c", "term")
+    if not n_several:
+        return one, counts.withColumn("alt", F.lit(""))
+    marked = attach(counts, several, ["lang", "digest"], n_several, "left")
+    marked = marked.withColumn("alt", F.when(F.col("several"), F.col("term")).otherwise("")).drop("several")
+    split = marked.where("alt <> ''").groupBy("lang", *KEY).agg(*held).where(F.col("docs") >= least_docs)
+    split, _ = stored(split.drop("docs"), "split-digests")
+    return one.unionByName(split), marked
 
 
 def probability(count: Column, total: Column, size: Column) -> Column:
     """``1 + floor(1e9 (count + 1) / (total + size))`` in whole numbers; null where the vocabulary is empty."""
-    top = F.lit(UNIT).cast("decimal(10,0)") * (count.cast("decimal(20,0)") + 1)
-    return F.lit(1) + F.call_function("div", top, F.nullif(total + size, F.lit(0)).cast("decimal(20,0)"))
+    below = F.nullif(total + size, F.lit(0))
+    wide = F.lit(UNIT).cast("decimal(10,0)") * (count.cast("decimal(20,0)") + 1)
+    fits = count < 2**63 // UNIT - 1
+    return F.lit(1) + F.when(fits, F.call_function("div", F.lit(UNIT) * (count + 1), below)).otherwise(F.call_function("div", wide, below.cast("decimal(20,0)")))
 
 
 def excess(p: Column, q: Column) -> Column:
@@ -119,13 +121,13 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _shard(table: pa.Table) -> pa.Table:
     """The part of one shard of terms in the sums of all pairs of sources of two blocks, less V f(a0, b0)."""
     lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "_i", "_j"))
-    at, block, p, p0, d0, d1 = (table.column(c).to_numpy() for c in ("at", "_blk", "p", "p0", "d0", "d1"))
+    at, block, p, p0, digests = (table.column(c).to_numpy() for c in ("at", "_blk", "p", "p0", "digest"))
     alt = table.column("alt").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     head = ~table.column("is_term").to_numpy(zero_copy_only=False)
     order = np.argsort(at[head])
     places, zero, home = at[head][order], p0[head][order], block[head][order]
     rows = np.flatnonzero(~head)
-    rows = rows[np.lexsort((at[rows], alt[rows], d1[rows], d0[rows]))]
+    rows = rows[np.lexsort((at[rows], alt[rows], digests[rows]))]
     s, p, block = np.searchsorted(places, at[rows]), p[rows], block[rows]
     out = np.zeros((len(places), len(places)), np.int64)
     # terms of one source against the other source's absent terms, once for each source and count
@@ -140,7 +142,7 @@ def _shard(table: pa.Table) -> pa.Table:
     change = np.ones(len(rows), np.int64)
     if len(rows):
         r = rows
-        change[1:] = (d0[r][1:] != d0[r][:-1]) | (d1[r][1:] != d1[r][:-1]) | (alt[r][1:] != alt[r][:-1])
+        change[1:] = (digests[r][1:] != digests[r][:-1]) | (alt[r][1:] != alt[r][:-1])
     term = np.cumsum(change)
     for shift in range(1, len(rows)):
         same = term[shift:] == term[:-shift]
@@ -162,7 +164,7 @@ def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     of_terms = rows.select("lang", "at", "sources", shard.alias("shard"), F.lit(True).alias("is_term"), "p", "p0", *KEY)
     of_groups = groups.where("size > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    of_groups = of_groups.select("lang", "at", "sources", "shard", F.lit(False).alias("is_term"), none.alias("p"), "p0", none.alias("d0"), none.alias("d1"), F.lit("").alias("alt"))
+    of_groups = of_groups.select("lang", "at", "sources", "shard", F.lit(False).alias("is_term"), none.alias("p"), "p0", none.alias("digest"), F.lit("").alias("alt"))
     dealt = block_pairs(of_terms.unionAll(of_groups), ["lang", "shard"], F.ceil(F.col("sources") / BLOCK), F.col("at"))
     parts = dealt.groupBy("lang", "shard", "_i", "_j").applyInArrow(_shard, "lang string, g int, h int, part_value long")
     sums = parts.groupBy("lang", "g", "h").agg(F.sum("part_value").alias("added"))
@@ -182,42 +184,38 @@ def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return salted.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).drop("_salt")
 
 
-def term_values(rows: DataFrame, counts: DataFrame, top: int) -> DataFrame:
+def term_values(rows: DataFrame, kept: DataFrame, top: int) -> DataFrame:
     """(lang, source, item, value, rank): the terms a source has more often than its language; text joined to candidates only."""
     over = rows.where("p > q").select("lang", "source", *KEY, excess(F.col("p"), F.col("q")).alias("value"))
     last = _top(over, [F.desc("value")], top).where(F.col("rank") == top).select("lang", "source", F.col("value").alias("least"))
     ahead = attach(over, last, ["lang", "source"], how="left").where("least is null or value >= least").drop("least")
-    ahead, _ = stored(ahead, "candidates")
-    wanted = ahead.where("alt = ''").select("d0", "d1").distinct()
-    text = attach(counts.where("fresh").select("d0", "d1", "term"), wanted, ["d0", "d1"]).groupBy("d0", "d1").agg(F.min("term").alias("term"))
-    named = ahead.join(text, ["d0", "d1"], "left").withColumn("item", F.when(F.col("alt") == "", F.col("term")).otherwise(F.col("alt")))
+    named = ahead.join(kept.select("lang", *KEY, F.col("term").alias("item")), ["lang", *KEY])
     return _top(named, [F.desc("value"), F.asc("item")], top).select("lang", "source", "item", "value", "rank")
 
 
-def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 128) -> DataFrame:
+def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
     """lang, source, part ('pair', 'term'), item, value, rank."""
 
     def filled(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
     plain = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), filled(text_col).alias("text"))
-    counted, counted_path = stored(partial_counts(plain).withColumns({c: d for c, d in zip(("d0", "d1"), digests(F.col("term"), bits))}), "term-counts")
-    keyed = split_collisions(counted)
-    by_group, by_group_path = stored(keyed.groupBy("lang", "source", *KEY).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "group-counts")
-    kept = by_group.groupBy("lang", *KEY).agg(F.sum("docs").alias("docs"), F.sum("n").alias("c")).where(F.col("docs") >= least_docs).drop("docs")
-    both, _ = stored(by_group.drop("docs").join(kept, ["lang", *KEY]), "kept-counts")
-    remove(docs.sparkSession, by_group_path)
+    counted, counted_path = stored(partial_counts(plain), "term-counts")
+    kept, keyed = kept_terms(counted.withColumn("digest", digest(F.col("term"), bits)), least_docs)
+    wanted = kept.select("lang", *KEY, "c").hint("shuffle_hash")
+    both = keyed.select("lang", "source", *KEY, "n").join(wanted, ["lang", *KEY]).groupBy("lang", *KEY, "source").agg(F.sum("n").alias("n"), F.first("c").alias("c"))
+    both, _ = stored(both, "kept-counts")
+    remove(docs.sparkSession, counted_path)
 
     by_source = both.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("n_rows"))
-    by_lang = by_source.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("n_rows").alias("n_rows"))
-    sizes = both.select("lang", *KEY).distinct().groupBy("lang").agg(F.count("*").alias("size"))
+    by_lang = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("c").alias("lang_total"))
     of_lang = Window.partitionBy("lang")
-    groups = plain.select("lang", "source").distinct().join(by_source.drop("n_rows"), ["lang", "source"], "left").join(by_lang, "lang", "left").join(sizes, "lang", "left")
+    groups = plain.select("lang", "source").distinct().join(by_source, ["lang", "source"], "left").join(by_lang, "lang", "left")
     groups = groups.na.fill(0, ["total", "lang_total", "size", "n_rows"]).select(
         "lang", "source", "total", "lang_total", "size",
         (F.row_number().over(of_lang.orderBy("source")) - 1).cast("int").alias("at"),
         F.count("*").over(of_lang).alias("sources"),
-        F.greatest(F.lit(SHARDS), F.ceil(F.col("n_rows") / SHARD_ROWS)).cast("int").alias("shards"),
+        F.greatest(F.lit(SHARDS), F.ceil(F.sum("n_rows").over(of_lang) / SHARD_ROWS)).cast("int").alias("shards"),
         probability(F.lit(0), F.col("total"), F.col("size")).alias("p0"),
     )
     groups, _ = stored(groups, "groups")
@@ -226,6 +224,6 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     pairs = pair_values(rows, groups).withColumn("rank", F.row_number().over(by_value))
-    terms = term_values(rows, counted, top)
+    terms = term_values(rows, kept, top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionAll(terms.withColumn("part", F.lit("term")).select(*columns))
