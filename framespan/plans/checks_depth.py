@@ -26,25 +26,60 @@ def valid_pairs(spark, sf):
 VALID_SQL = f"{PAIRS_SQL}, vp AS (SELECT * FROM pairs WHERE gt > 0 AND gt < {MAX_DEPTH})"
 
 
-def irls_sql(src: str, by: str, start: str, residual: str, cross: str, square: str, iters: int = 10, tol: float | None = None, low: float | None = None) -> str:
-    """The unrolled passes as CTEs; ``{s}`` in ``residual`` is the current scale."""
+def power_sql(size: str) -> str:
+    """A power of two above the largest value of a group."""
+    return f"pow(2.0, ceil(log2(greatest(max({size}), 1e-30) * 1.3)))"
+
+
+def exact_terms(terms: dict[str, tuple[str, str]]) -> str:
+    """Columns of the limbs of each term (value, bound), as the engine cuts them."""
+    out = []
+    for name, (value, bound) in terms.items():
+        out.append(f"{value} AS {name}_v0")
+        for k in range(3):
+            unit = f"({bound} / {2.0 ** (31 * (k + 1))!r})"
+            out.append(f"CAST(floor({name}_v{k} / {unit}) AS BIGINT) AS {name}_q{k}")
+            out.append(f"{name}_v{k} - CAST({name}_q{k} AS DOUBLE) * {unit} AS {name}_v{k + 1}")
+    return ", ".join(out)
+
+
+def exact_sum(name: str, bound: str) -> str:
+    """The sum of a term from its limbs, the same in any order of the rows."""
+    parts = [f"CAST(CAST(sum({name}_q{k}) AS BIGINT) AS DOUBLE) * (max({bound}) / {2.0 ** (31 * (k + 1))!r})" for k in range(3)]
+    return f"(({parts[0]} + {parts[1]}) + {parts[2]})"
+
+
+def irls_sql(src: str, by: str, start: str, residual: str, cross: str, square: str, iters: int = 10, tol: float | None = None, low: float | None = None, size: str = "greatest(abs(gt), abs(pred))", wide: float = 1.0) -> str:
+    """The unrolled passes as CTEs; ``{s}`` in ``residual`` is the current scale, ``start`` is "top / low" and in means where ``wide`` is 1."""
 
     def clamp(x: str) -> str:
         return x if low is None else f"greatest({x}, {low})"
 
-    out = [f"s0 AS (SELECT {by}, {clamp(start)} AS s, false AS done FROM {src} GROUP BY {by})"]
+    over, under = start.split(" / ")
+    bound = "k.top" if wide == 1.0 else f"k.top * k.top * {wide!r}"
+    terms = {"p": (over, bound), "q": (under, bound)}
+    count = "/ count(*)" if wide == 1.0 else ""
+    top = bound.replace("k.top", "top")
+    out = [
+        f"z0 AS (SELECT {by}, {power_sql(size)} AS top FROM {src} GROUP BY {by})",
+        f"y0 AS (SELECT {by}, k.top, {exact_terms(terms)} FROM {src} JOIN z0 k USING ({by}))",
+        f"s0 AS (SELECT {by}, {clamp(f'({exact_sum("p", top)} {count}) / ({exact_sum("q", top)} {count})')} AS s, false AS done, max(top) AS top FROM y0 GROUP BY {by})",
+    ]
     for i in range(1, iters + 1):
         w = f"(1.0 / ({residual.format(s='k.s')} + 1e-8))"
-        fresh = clamp(f"sum({w} * {cross}) / sum({w} * {square})")
-        stop = "false" if tol is None else f"abs({fresh} - max(k.s)) < {tol}"
+        bound = f"(top * top * {2.0**27!r})"
+        terms = {"p": (f"{w} * {cross}", bound.replace("top", "k.top")), "q": (f"{w} * {square}", bound.replace("top", "k.top"))}
+        fresh = clamp(f"{exact_sum('p', bound)} / {exact_sum('q', bound)}")
+        stop = "false" if tol is None else f"abs({fresh} - max(s)) < {tol}"
+        out.append(f"y{i} AS (SELECT {by}, k.s, k.done, k.top, {exact_terms(terms)} FROM {src} JOIN s{i - 1} k USING ({by}))")
         out.append(
-            f"s{i} AS (SELECT {by}, CASE WHEN bool_or(k.done) THEN max(k.s) ELSE {fresh} END AS s, bool_or(k.done) OR {stop} AS done "
-            f"FROM {src} JOIN s{i - 1} k USING ({by}) GROUP BY {by})"
+            f"s{i} AS (SELECT {by}, CASE WHEN bool_or(done) THEN max(s) ELSE {fresh} END AS s, bool_or(done) OR {stop} AS done, max(top) AS top "
+            f"FROM y{i} GROUP BY {by})"
         )
     return ",\n".join(out)
 
 
-EVAL_SQL = irls_sql("vp", "seq", "avg(gt) / avg(pred)", "abs({s} * pred - gt)", "pred * gt", "pred * pred")
+EVAL_SQL = irls_sql("vp", "seq", "gt / pred", "abs({s} * pred - gt)", "pred * gt", "pred * pred")
 
 
 @query("irls_scale_eval", f"WITH {VALID_SQL}, {EVAL_SQL} SELECT seq, round(greatest(s, 1e-3), 3) AS scale FROM s10")
@@ -54,7 +89,7 @@ def irls_scale_eval(spark, sf):
 
 @query(
     "irls_scale_depth",
-    f"""WITH {VALID_SQL}, {irls_sql('vp', 'seq', 'avg(gt) / avg(pred)', 'abs({s} * pred - gt)', 'pred * gt', 'pred * pred', tol=0.05, low=1e-6)}
+    f"""WITH {VALID_SQL}, {irls_sql('vp', 'seq', 'gt / pred', 'abs({s} * pred - gt)', 'pred * gt', 'pred * pred', tol=0.05, low=1e-6)}
 SELECT seq, round(s, 4) AS scale, done AS converged FROM s10""",
 )
 def irls_scale_depth(spark, sf):
@@ -64,7 +99,8 @@ def irls_scale_depth(spark, sf):
 @query(
     "irls_scale_points",
     f"""WITH {VALID_SQL}, pp AS (SELECT seq, pred AS sx, idx * 2000.0 AS sy, pred * 0.5 AS sz, gt AS dx, idx * 3000.0 AS dy, gt * 0.5 AS dz FROM vp),
-{irls_sql('pp', 'seq', 'sum(sx*dx + sy*dy + sz*dz) / sum(sx*sx + sy*sy + sz*sz)', 'sqrt(pow({s}*sx - dx, 2) + pow({s}*sy - dy, 2) + pow({s}*sz - dz, 2))', '(sx*dx + sy*dy + sz*dz)', '(sx*sx + sy*sy + sz*sz)', tol=0.05, low=1e-6)}
+{irls_sql('pp', 'seq', '(sx*dx + sy*dy + sz*dz) / (sx*sx + sy*sy + sz*sz)', 'sqrt(({s}*sx - dx) * ({s}*sx - dx) + ({s}*sy - dy) * ({s}*sy - dy) + ({s}*sz - dz) * ({s}*sz - dz))', '(sx*dx + sy*dy + sz*dz)', '(sx*sx + sy*sy + sz*sz)', tol=0.05, low=1e-6,
+size='greatest(abs(sx), abs(sy), abs(sz), abs(dx), abs(dy), abs(dz))', wide=4.0)}
 SELECT seq, round(s, 4) AS scale, done AS converged FROM s10""",
 )
 def irls_scale_points(spark, sf):
@@ -100,11 +136,14 @@ def _lad_sql(iters: int = 10) -> str:
  count(*) OVER (PARTITION BY seq) AS n FROM vp)""",
         "l0 AS (SELECT seq, max(gt) FILTER (WHERE a = (n + 1) // 2) / max(pred) FILTER (WHERE b = (n + 1) // 2) AS s, 0.0 AS t FROM r GROUP BY seq)",
     ]
+    out.append(f"h AS (SELECT seq, {power_sql('greatest(abs(gt), abs(pred))')} AS top FROM vp GROUP BY seq)")
+    first = f"{2.0**27!r}"
+    terms = {"w": ("wt", first), "a": ("wt*pred", f"({first} * top)"), "b": ("wt*gt", f"({first} * top)"), "aa": ("wt*pred*pred", f"({first} * top * top)"), "ab": ("wt*pred*gt", f"({first} * top * top)")}
+    sums = ", ".join(f"{exact_sum(name, bound)} AS {name}" for name, (_, bound) in terms.items())
     for i in range(1, iters + 1):
-        out.append(
-            f"""m{i} AS (SELECT seq, sum(w) AS w, sum(w*pred) AS a, sum(w*gt) AS b, sum(w*pred*pred) AS aa, sum(w*pred*gt) AS ab
- FROM (SELECT seq, pred, gt, 1.0 / (abs(k.s * pred + k.t - gt) + 1e-8) AS w FROM vp JOIN l{i - 1} k USING (seq)) GROUP BY seq)"""
-        )
+        out.append(f"n{i} AS (SELECT vp.seq, pred, gt, h.top AS top, 1.0 / (abs(k.s * pred + k.t - gt) + 1e-8) AS wt FROM vp JOIN l{i - 1} k ON vp.seq = k.seq JOIN h ON vp.seq = h.seq)")
+        out.append(f"o{i} AS (SELECT seq, top, {exact_terms(terms)} FROM n{i})")
+        out.append(f"m{i} AS (SELECT seq, {sums} FROM o{i} GROUP BY seq)")
         out.append(f"l{i} AS (SELECT seq, (w*ab - a*b) / (w*aa - a*a) AS s, (aa*b - a*ab) / (w*aa - a*a) AS t FROM m{i})")
     return ",\n".join(out)
 
@@ -119,7 +158,7 @@ METRIC_SQL = """abs(p - gt) / gt AS e1, (p - gt) * (p - gt) / gt AS e2, (p - gt)
 METRIC_AGG = """round(coalesce(avg(e1), 0), 4) AS abs_rel, round(coalesce(avg(e2), 0), 0) AS sq_rel, round(coalesce(sqrt(avg(e3)), 0), 0) AS rmse,
  round(coalesce(sqrt(avg(e4)), 0), 4) AS log_rmse, round(coalesce(avg(CASE WHEN ratio < 1.25 THEN 1.0 ELSE 0.0 END), 0), 4) AS d1,
  round(coalesce(avg(CASE WHEN ratio < 1.5625 THEN 1.0 ELSE 0.0 END), 0), 4) AS d2, round(coalesce(avg(CASE WHEN ratio < 1.953125 THEN 1.0 ELSE 0.0 END), 0), 4) AS d3"""
-SCALE_SQL = irls_sql("vp", "seq", "avg(gt) / avg(pred)", "abs({s} * pred - gt)", "pred * gt", "pred * pred")
+SCALE_SQL = irls_sql("vp", "seq", "gt / pred", "abs({s} * pred - gt)", "pred * gt", "pred * pred")
 
 
 def alignment(spark, sf):
@@ -153,7 +192,7 @@ def depth_metrics_masked(spark, sf):
     return rounded(out, M.DEPTH_METRICS)
 
 
-DISP_EVAL = irls_sql("dp", "seq", "avg(g) / avg(pred)", "abs({s} * pred - g)", "pred * g", "pred * pred")
+DISP_EVAL = irls_sql("dp", "seq", "g / pred", "abs({s} * pred - g)", "pred * g", "pred * pred", size="greatest(abs(g), abs(pred))")
 
 
 @query(

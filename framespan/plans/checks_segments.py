@@ -134,7 +134,7 @@ xa AS (SELECT frame_id, prev_seg AS seg_a, count(*) AS na FROM sh GROUP BY 1, 2)
 xe AS (SELECT scene, window_id, frame_id, seg_a, seg_b, inter / (na + nb - inter) AS iou FROM xi JOIN xa USING (frame_id, seg_a) JOIN xb USING (frame_id, seg_b) WHERE inter / (na + nb - inter) >= 0.4),
 sp AS (SELECT scene, window_id, frame_id, prev_seg AS seg_a, cur_seg AS seg_b, frame_id * 10000 + prev_seg * 100 + cur_seg AS k, cur_depth AS pred, prev_depth AS gt FROM sh),
 sq AS (SELECT sp.* FROM sp JOIN xe USING (scene, window_id, frame_id, seg_a, seg_b)),
-{irls_sql('sq', 'k', 'avg(gt) / avg(pred)', 'abs({s} * pred - gt)', 'pred * gt', 'pred * pred', tol=0.05, low=1e-6)},
+{irls_sql('sq', 'k', 'gt / pred', 'abs({s} * pred - gt)', 'pred * gt', 'pred * pred', tol=0.05, low=1e-6)},
 sd AS (SELECT scene, window_id, frame_id, seg_a, seg_b, iou, s AS scale FROM xe JOIN s10 ON k = frame_id * 10000 + seg_a * 100 + seg_b)"""
 
 
