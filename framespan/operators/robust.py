@@ -32,7 +32,8 @@ LIMBS, LIMB = 3, 2.0**31
 
 def power_above(size: Column) -> Column:
     """A power of two above ``size``; the factor keeps powers of two themselves away from the rounding of the logarithm."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(1e-30)) * 1.3)).cast("double"))
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(1e-30)) * 1.3)).cast("double"))
+    return F.when(F.isnan(size) | (size == float("inf")), F.lit(float("nan"))).otherwise(power)
 
 
 def limbs(value: Column, bound: Column) -> list[Column]:
