@@ -1,14 +1,17 @@
 """Pose-graph optimisation over similarity transforms.
 
-A scene is a chain of windows plus a few loop edges. The chain is cut at anchors (loop ends and
-every ``SEGMENT`` windows). Each round reduces every chain segment to an edge between its two
-anchors (small dense elimination, one task per segment), solves the anchors of a scene, and
-substitutes back into the segments: an exact solve of the damped normal equations in which no
-task sees a whole chain.
+A scene is a chain of windows plus loop edges. The chain is cut into runs of at most ``SEGMENT`` edges
+between anchors (loop ends and every ``SEGMENT``-th window), stored one row each. A round eliminates the inner nodes of each
+run, then merges up to ``SEGMENT`` neighbouring runs at a time, level by level, wherever they meet at a window without a loop.
+What is left of a scene, its loop ends and little more, is solved exactly by sparse elimination in one task, and the steps are
+substituted back down the levels: an exact solve of the damped normal equations by one method at every size. No task sees
+a chain; the last one sees rows in proportion to the loops of one scene.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +20,16 @@ from pyspark.sql import functions as F
 from framespan.functions import columns as C
 from framespan.functions import sim3_lie as lie
 from framespan.operators.graph import to_absolute, to_relative
-from framespan.operators.joins import attach
+from framespan.operators.joins import attach, broadcast_limit
 from framespan.operators.ranking import running_sum
 from framespan.schemas import SIM3, VEC
 from framespan.session import cut
 
 SEGMENT = 32
-DENSE_ANCHORS = 400
+#: Runs of edges that one task works on in a round.
+RUNS_PER_TASK = 32
+#: Relative change of the cost under which more rounds only repeat it.
+STILL = 1e-9
 
 
 @F.pandas_udf(VEC)
@@ -50,133 +56,190 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(float)
 
 
-def _segment_system(pdf: pd.DataFrame):
-    """Normal equations of one chain segment: nodes a..b in order, edges between neighbours."""
-    pdf = pdf.sort_values("node")
-    r, ji, jj = lie.linearise(_stack(pdf["c"]), _stack(pdf["g"]), _stack(pdf["g_prev"]))
-    m = len(pdf)
-    h, b = np.zeros((7 * (m + 1), 7 * (m + 1))), np.zeros(7 * (m + 1))
+def _linear(c: np.ndarray, g: np.ndarray, g_prev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals and the blocks (before, after) of the normal equations, edge by edge."""
+    r, j_after, j_before = lie.linearise(c, g, g_prev)
+    j = np.concatenate([j_before, j_after], axis=2)
+    return r, np.einsum("nki,nkj->nij", j, j), -np.einsum("nki,nk->ni", j, r)
+
+
+def _system(h: np.ndarray, rhs: np.ndarray, diag: np.ndarray, lam: float):
+    """Matrix, right side and undamped diagonal of a run of edges between neighbours; inner nodes are damped."""
+    m = len(h)
+    big, b, d = np.zeros((7 * (m + 1), 7 * (m + 1))), np.zeros(7 * (m + 1)), np.zeros(7 * (m + 1))
     for e in range(m):
-        p, n = slice(7 * e, 7 * e + 7), slice(7 * e + 7, 7 * e + 14)
-        h[n, n] += ji[e].T @ ji[e]
-        h[p, p] += jj[e].T @ jj[e]
-        h[p, n] += jj[e].T @ ji[e]
-        h[n, p] += ji[e].T @ jj[e]
-        b[n] -= ji[e].T @ r[e]
-        b[p] -= jj[e].T @ r[e]
-    diag = h.diagonal().copy()
-    inner = slice(7, 7 * m)
-    idx = np.arange(7, 7 * m)
-    h[idx, idx] += pdf["lam"].iloc[0] * diag[inner]
-    return pdf, r, h, b, diag, np.r_[0:7, 7 * m : 7 * m + 7], idx
-
-
-EDGE = "scene {k}, a long, b long, h array<double>, rhs array<double>, diag array<double>, cost double, n long, lam double"
-
-
-def _reduce_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, r, h, b, diag, outer, inner = _segment_system(pdf)
-    hoo, bo = h[np.ix_(outer, outer)], b[outer]
+        at = slice(7 * e, 7 * e + 14)
+        big[at, at] += h[e]
+        b[at] += rhs[e]
+        d[at] += diag[e]
+    inner = np.arange(7, 7 * m)
+    big[inner, inner] += lam * d[inner]
+    return big, b, d, np.r_[0:7, 7 * m : 7 * m + 7], inner
+
+
+def _eliminated(h, rhs, diag, lam):
+    """A run of edges as one edge between its two ends."""
+    big, b, d, outer, inner = _system(h, rhs, diag, lam)
+    hoo, bo = big[np.ix_(outer, outer)], b[outer]
     if len(inner):
-        x = np.linalg.solve(h[np.ix_(inner, inner)], np.column_stack([h[np.ix_(inner, outer)], b[inner]]))
-        hoo = hoo - h[np.ix_(outer, inner)] @ x[:, :-1]
-        bo = bo - h[np.ix_(outer, inner)] @ x[:, -1]
-    first, last = pdf.iloc[0], pdf.iloc[-1]
-    row = (first["scene"], int(first["node"]) - 1, int(last["node"]), hoo.reshape(-1), bo, diag[outer], float((r**2).sum()), r.size, first["lam"])
-    return pd.DataFrame([row], columns=["scene", "a", "b", "h", "rhs", "diag", "cost", "n", "lam"])
+        x = np.linalg.solve(big[np.ix_(inner, inner)], np.column_stack([big[np.ix_(inner, outer)], b[inner]]))
+        hoo = hoo - big[np.ix_(outer, inner)] @ x[:, :-1]
+        bo = bo - big[np.ix_(outer, inner)] @ x[:, -1]
+    return hoo, bo, d[outer]
 
 
-def _substitute_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, _, h, b, _, outer, inner = _segment_system(pdf)
-    da, db = np.asarray(pdf["da"].iloc[0], dtype=float), np.asarray(pdf["db"].iloc[0], dtype=float)
+def _substituted(h, rhs, diag, lam, ends: np.ndarray) -> np.ndarray:
+    """Steps of all nodes of a run of edges, given those of its two ends."""
+    big, b, _, outer, inner = _system(h, rhs, diag, lam)
     delta = np.zeros(len(b))
-    delta[outer] = np.concatenate([da, db])
+    delta[outer] = ends
     if len(inner):
-        delta[inner] = np.linalg.solve(h[np.ix_(inner, inner)], b[inner] - h[np.ix_(inner, outer)] @ delta[outer])
-    steps = delta.reshape(-1, 7)
-    moved, before = _stack(pdf["g"]) + steps[1:], _stack(pdf["g_prev"]) + steps[:-1]
-    res = lie.residual(_stack(pdf["c"]), moved, before)
-    return pd.DataFrame(
-        {"scene": pdf["scene"].to_numpy(), "node": pdf["node"].to_numpy(), "g_new": list(moved), "cost_new": (res**2).sum(axis=1)}
-    )
-
-
-def _loop_edges(batches):
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        c, gi, gj = _stack(pdf["c"]), _stack(pdf["g_i"]), _stack(pdf["g_j"])
-        r, ji, jj = lie.linearise(c, gi, gj)
-        j = np.concatenate([ji, jj], axis=2)
-        h = np.einsum("nki,nkj->nij", j, j)
-        yield pd.DataFrame(
-            {
-                "scene": pdf["scene"].to_numpy(),
-                "a": pdf["i"].to_numpy(),
-                "b": pdf["j"].to_numpy(),
-                "h": list(h.reshape(len(h), -1)),
-                "rhs": list(-np.einsum("nki,nk->ni", j, r)),
-                "diag": list(np.einsum("nii->ni", h)),
-                "cost": (r**2).sum(axis=1),
-                "n": np.full(len(r), 7),
-                "lam": pdf["lam"].to_numpy(),
-            }
-        )
+        delta[inner] = np.linalg.solve(big[np.ix_(inner, inner)], b[inner] - big[np.ix_(inner, outer)] @ ends)
+    return delta.reshape(-1, 7)
 
 
-def _conjugate_gradient(edges, diag, rhs, lam, rounds=20_000, tol=1e-12):
-    """Damped anchor system for scenes too large for a dense matrix: edge blocks, diagonal scaling."""
-    a, b, h = edges
-
-    def times(x):
-        both = np.concatenate([x[a], x[b]], axis=1)
-        part = np.einsum("nij,nj->ni", h, both)
-        out = lam * diag * x
-        np.add.at(out, a, part[:, :7])
-        np.add.at(out, b, part[:, 7:])
-        return out
-
-    pre = 1 / np.maximum(diag * (1 + lam), 1e-12)
-    x = np.zeros_like(rhs)
-    res = rhs.copy()
-    z = pre * res
-    p, rz = z.copy(), float((res * z).sum())
-    start = rz
-    for _ in range(rounds):
-        if rz <= tol * tol * max(start, 1e-300):
-            break
-        ap = times(p)
-        step = rz / float((p * ap).sum())
-        x += step * p
-        res -= step * ap
-        z = pre * res
-        fresh = float((res * z).sum())
-        p = z + fresh / rz * p
-        rz = fresh
-    return x
-
-
-def _solve_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-    a, b = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
-    h, rhs, diag = _stack(pdf["h"]).reshape(-1, 14, 14), _stack(pdf["rhs"]), _stack(pdf["diag"])
-    n, lam = len(ids), float(pdf["lam"].iloc[0])
-    total, dsum = np.zeros((n, 7)), np.zeros((n, 7))
+def _run_of(g: list, c: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(g, float).reshape(-1, 7), np.asarray(c, float).reshape(-1, 13)
+
+
+def _edge_rows(keys: list[str]):
+    """Stored runs of chain edges (one row each) as reduced edges."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                g, c = _run_of(row["g"], row["c"])
+                r, h, rhs = _linear(c, g[1:], g[:-1])
+                hoo, bo, d = _eliminated(h, rhs, np.einsum("nii->ni", h), row["lam"])
+                out.append((*[row[k] for k in keys], row["a"], row["b"], hoo.reshape(-1), bo, d, g[0], g[-1], row["lam"]))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "a", "b", "h", "rhs", "diag", "ga", "gb", "lam"])
+
+    return run
+
+
+EDGE = "a long, b long, h array<double>, rhs array<double>, diag array<double>, ga array<double>, gb array<double>, lam double"
+
+
+def _reduce(keys: list[str]):
+    """A run of reduced edges of the level below as one edge."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        first, last = pdf.iloc[0], pdf.iloc[-1]
+        hoo, bo, d = _eliminated(_stack(pdf["h"]).reshape(-1, 14, 14), _stack(pdf["rhs"]), _stack(pdf["diag"]), first["lam"])
+        row = (*[first[k] for k in keys], first["a"], last["b"], hoo.reshape(-1), bo, d, first["ga"], last["gb"], first["lam"])
+        return pd.DataFrame([row], columns=[*keys, "a", "b", "h", "rhs", "diag", "ga", "gb", "lam"])
+
+    return run
+
+
+def _descend(low: str):
+    """Steps of the ends of every edge of a run, from those of the run's ends."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        ends = np.concatenate([pdf["da"].iloc[0], pdf["db"].iloc[0]]).astype(float)
+        delta = _substituted(_stack(pdf["h"]).reshape(-1, 14, 14), _stack(pdf["rhs"]), _stack(pdf["diag"]), pdf["lam"].iloc[0], ends)
+        first = np.zeros(len(pdf))
+        first[0] = 1
+        out = {"scene": pdf["scene"].to_numpy(), low: pdf[low].to_numpy(), "da": list(delta[:-1]), "db": list(delta[1:])}
+        return pd.DataFrame(out | {c: pdf[c].to_numpy() * first for c in ("loop_now", "loop_new", "loop_n")})
+
+    return run
+
+
+def solve_blocks(n: int, a: np.ndarray, b: np.ndarray, h: np.ndarray, rhs: np.ndarray, diag: np.ndarray, lam: float) -> np.ndarray:
+    """Exact solution of a sparse system of 7x7 blocks: nodes are eliminated by least degree, then substituted back.
+
+    The work is linear in the nodes for chains and for loops that leave few neighbours.
+    """
+    near: list[dict[int, np.ndarray]] = [{} for _ in range(n)]
+    right, own, damp = np.zeros((n, 7)), np.zeros((n, 7, 7)), np.zeros((n, 7))
     for at, part in ((a, slice(0, 7)), (b, slice(7, 14))):
-        np.add.at(total, at, rhs[:, part])
-        np.add.at(dsum, at, diag[:, part])
-    if n <= DENSE_ANCHORS:
-        dense = np.zeros((7 * n, 7 * n))
-        for e in range(len(a)):
-            rows = np.r_[7 * a[e] : 7 * a[e] + 7, 7 * b[e] : 7 * b[e] + 7]
-            dense[np.ix_(rows, rows)] += h[e]
-        dense[np.arange(7 * n), np.arange(7 * n)] += lam * dsum.reshape(-1)
-        delta = np.linalg.lstsq(dense, total.reshape(-1), rcond=None)[0].reshape(n, 7)
-    else:
-        delta = _conjugate_gradient((a, b, h), dsum, total, lam)
-    return pd.DataFrame(
-        {"scene": pdf["scene"].iloc[0], "node": ids, "delta": list(delta), "cost": float(pdf["cost"].sum()), "n": int(pdf["n"].sum())}
-    )
+        np.add.at(right, at, rhs[:, part])
+        np.add.at(damp, at, diag[:, part])
+        np.add.at(own, at, h[:, part, part])
+    for e, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
+        near[u][v] = near[u].get(v, 0) + h[e, :7, 7:]
+        near[v][u] = near[v].get(u, 0) + h[e, 7:, :7]
+    own[:, np.arange(7), np.arange(7)] += lam * damp
+    queue = [(len(near[v]), v) for v in range(n)]
+    heapq.heapify(queue)
+    gone, order = np.zeros(n, bool), []
+    while queue:
+        degree, v = heapq.heappop(queue)
+        if gone[v] or degree != len(near[v]):
+            continue
+        others = list(near[v])
+        wide = np.concatenate([*[near[v][u] for u in others], right[v][:, None]], axis=1)
+        x = np.linalg.solve(own[v], wide)
+        update = wide[:, :-1].T @ x
+        for p, u in enumerate(others):
+            del near[u][v]
+            block = update[7 * p : 7 * p + 7]
+            own[u] -= block[:, 7 * p : 7 * p + 7]
+            right[u] -= block[:, -1]
+            for q, w in enumerate(others):
+                if q != p:
+                    near[u][w] = near[u].get(w, 0) - block[:, 7 * q : 7 * q + 7]
+        for u in others:
+            heapq.heappush(queue, (len(near[u]), u))
+        gone[v] = True
+        order.append((v, others, x))
+    delta = np.zeros((n, 7))
+    for v, others, x in reversed(order):
+        delta[v] = x[:, -1] - (x[:, :-1] @ delta[others].reshape(-1) if others else 0)
+    return delta
+
+
+def _solve(top: str):
+    """Steps of what the levels leave of a scene: loop ends, and the ends of its last runs of edges."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain, bent = pdf[pdf["c"].isna()].sort_values("a"), pdf[pdf["c"].notna()]
+        a, b, lam = chain["a"].to_numpy(), chain["b"].to_numpy(), float(chain["lam"].iloc[0])
+        ids = np.append(a, b[-1])
+        g = np.concatenate([_stack(chain["ga"]), _stack(chain["gb"])[-1:]])
+        i, j = np.searchsorted(ids, bent["a"].to_numpy()), np.searchsorted(ids, bent["b"].to_numpy())
+        c = _stack(bent["c"])
+        r, h, rhs = _linear(c, g[i], g[j])
+        edges = [np.concatenate(x) for x in (
+            (np.searchsorted(ids, a), j), (np.searchsorted(ids, b), i), (_stack(chain["h"]).reshape(-1, 14, 14), h),
+            (_stack(chain["rhs"]), rhs), (_stack(chain["diag"]), np.einsum("nii->ni", h)),
+        )]
+        delta = solve_blocks(len(ids), *edges, lam)
+        moved = g + delta
+        new = lie.residual(c, moved[i], moved[j])
+        out = {"scene": chain["scene"].to_numpy(), top: chain[top].to_numpy(), "da": list(delta[:-1]), "db": list(delta[1:])}
+        first = np.zeros(len(chain))
+        first[0] = 1
+        return pd.DataFrame(out | {"loop_now": first * (r**2).sum(), "loop_new": first * (new**2).sum(), "loop_n": first * r.size})
+
+    return run
+
+
+def _move(keys: list[str]):
+    """Tried positions of stored runs of edges and their squared residuals before and after; rows without steps stay as they are."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                tried, now, new, n = None, 0.0, 0.0, 0
+                if row["da"] is not None:
+                    g, c = _run_of(row["g"], row["c"])
+                    r, h, rhs = _linear(c, g[1:], g[:-1])
+                    moved = g + _substituted(h, rhs, np.einsum("nii->ni", h), row["lam"], np.concatenate([row["da"], row["db"]]).astype(float))
+                    res = lie.residual(c, moved[1:], moved[:-1])
+                    tried, n = moved.reshape(-1), r.size + int(row["loop_n"])
+                    now, new = float((r**2).sum()) + row["loop_now"], float((res**2).sum()) + row["loop_new"]
+                out.append((*[row[k] for k in keys], row["a"], row["b"], row["g"], row["c"], tried, now, new, n))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "a", "b", "g", "c", "tried", "now", "new", "n"])
+
+    return run
 
 
 @F.pandas_udf(VEC.elementType)
@@ -186,6 +249,47 @@ def _loop_cost(c: pd.Series, gi: pd.Series, gj: pd.Series) -> pd.Series:
     return pd.Series((lie.residual(_stack(c), _stack(gi), _stack(gj)) ** 2).sum(axis=1))
 
 
+def _runs(chain: DataFrame, loops: DataFrame, segment: int) -> tuple[DataFrame, int]:
+    """The chain as runs of at most ``segment`` edges between anchors, one row each, with the run of runs (up1, up2, ...) it lies in.
+
+    Anchors are loop ends, every ``segment``-th node and the last. A level merges up to ``segment`` runs whose common ends are no
+    loop ends, until a scene has no more than ``segment`` runs or nothing is left to merge.
+    """
+    absolute = to_absolute(chain)
+    nodes = absolute.withColumn("_g", C.sim3_inverse("sim3")).select("scene", "node", _tangent("_g.s", "_g.r", "_g.t").alias("g"))
+    ends = loops.select("scene", F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("_end", F.lit(1))
+    last = absolute.groupBy("scene").agg(F.max("node").alias("_last"))
+    marked = attach(nodes.join(ends, ["scene", "node"], "left"), last, ["scene"])
+    fixed = F.coalesce((F.col("_end") == 1) | (F.col("node") == F.col("_last")), F.lit(False))
+    marked = marked.withColumn("fixed", fixed).withColumn("anchor", (fixed | (F.col("node") % segment == 0)).cast("long"))
+    numbered = running_sum(marked, ["scene"], [F.col("node")], F.col("anchor"), "_count")
+    # the edge into a node lies in the run opened by the last anchor before the node
+    steps = chain.select("scene", (F.col("node") + 1).alias("node"), _flat(F.col("sim3")).alias("c"))
+    before = nodes.select("scene", (F.col("node") + 1).alias("node"), F.col("g").alias("g0"))
+    placed = numbered.select("scene", "node", "g", "fixed", (F.col("_count") - F.col("anchor")).alias("seg")).join(steps, ["scene", "node"]).join(before, ["scene", "node"])
+    items = F.array_sort(F.collect_list(F.struct("node", "g0", "g", "c", "fixed")))
+    packed = placed.groupBy("scene", "seg").agg(items.alias("_e"))
+    runs = packed.select(
+        "scene", "seg",
+        (F.col("_e")[0]["node"] - 1).alias("a"),
+        F.element_at("_e", -1)["node"].alias("b"),
+        F.element_at("_e", -1)["fixed"].alias("fixed"),
+        F.concat(F.col("_e")[0]["g0"], F.flatten(F.col("_e.g"))).alias("g"),
+        F.flatten(F.col("_e.c")).alias("c"),
+    )
+    runs, levels, low = cut(runs), 0, "seg"
+    while runs.groupBy("scene").agg(F.count_distinct(low).alias("_n")).where(F.col("_n") > segment).limit(1).count():
+        level = runs.groupBy("scene", F.col(low).alias("_low")).agg(F.max_by("fixed", "b").alias("_fixed"), F.max("b").alias("_b"))
+        stops = (F.col("_fixed") | (F.col("_low") % segment == 0)).cast("long")
+        summed = running_sum(level.withColumn("_stop", stops), ["scene"], [F.col("_low")], F.col("_stop"), "_sum")
+        grouped = cut(summed.select("scene", F.col("_low").alias(low), (F.col("_sum") - F.col("_stop") + 1).alias(f"up{levels + 1}")))
+        if grouped.count() == grouped.select("scene", f"up{levels + 1}").distinct().count():
+            break
+        levels += 1
+        runs, low = cut(runs.join(grouped, ["scene", low])), f"up{levels}"
+    return runs, levels
+
+
 def optimize_pose_graph(
     seq_edges: DataFrame,
     loop_edges: DataFrame,
@@ -193,97 +297,91 @@ def optimize_pose_graph(
     lambda_init: float = 1e-6,
     segment: int = SEGMENT,
 ) -> DataFrame:
-    """Optimised steps (scene, node, sim3) of scenes with loop edges; other scenes stay unchanged.
+    """Optimised steps (scene, node, sim3, converged) of scenes with loop edges; other scenes stay unchanged, ``converged`` null.
 
     ``seq_edges`` is (scene, node, sim3): the step from window ``node`` to ``node + 1``, numbered from
-    0 without gaps. ``loop_edges`` is (scene, i, j, sim3) with i <> j. Levenberg-Marquardt per scene:
-    damping halves on success and doubles on failure; a scene stops once its cost is below 1e-5, at
-    least five rounds are done and the last five rounds improved it by less than half. State goes to
-    the checkpoint folder every round; the driver sees only whether scenes are live.
+    0 without gaps. ``loop_edges`` is (scene, i, j, sim3) with i <> j; loops to windows that do not exist are left out. Levenberg-Marquardt
+    per scene: damping halves on success and doubles on failure; a scene has converged once its cost is below 1e-5, at
+    least five rounds are done and the last five rounds improved it by less than half, or once a round moves its cost by
+    less than ``STILL`` of it. A round is one job over
+    stored runs of edges; the driver sees only whether scenes are live.
     """
     loops = loop_edges.where("i <> j").select("scene", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _flat(F.col("sim3")).alias("c"))
+    size = seq_edges.groupBy("scene").agg((F.max("node") + 1).alias("_last"))
+    loops = cut(loops.join(size, "scene").where("least(i, j) >= 0 and greatest(i, j) <= _last").drop("_last"))
     looped = loops.select("scene").distinct()
     plain = seq_edges.join(looped, "scene", "left_anti")
     chain = cut(seq_edges.select("scene", F.col("node").cast("long").alias("node"), "sim3").join(looped, "scene", "left_semi"))
-    loops = cut(loops)
     kind = dict(chain.dtypes)["scene"]
-    edge_schema = EDGE.format(k=kind)
-
-    absolute = to_absolute(chain)
-    g = C.sim3_inverse("sim3")
-    nodes = absolute.withColumn("_g", g).select("scene", "node", _tangent("_g.s", "_g.r", "_g.t").alias("g"))
-    ends = loops.select("scene", F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("_end", F.lit(1))
-    last = absolute.groupBy("scene").agg(F.max("node").alias("_last"))
-    marked = attach(nodes.join(ends, ["scene", "node"], "left"), last, ["scene"])
-    anchor = (F.col("_end") == 1) | (F.col("node") % segment == 0) | (F.col("node") == F.col("_last"))
-    marked = marked.withColumn("anchor", F.coalesce(anchor, F.lit(False)).cast("long"))
-    numbered = running_sum(marked, ["scene"], [F.col("node")], F.col("anchor"), "_count")
-    # the edge into a node lies in the segment opened by the last anchor before the node
-    layout = numbered.select("scene", "node", "g", "anchor", (F.col("_count") - F.col("anchor")).alias("seg"))
-    steps = chain.select("scene", (F.col("node") + 1).alias("node"), _flat(F.col("sim3")).alias("c"))
-    layout = cut(layout.join(steps, ["scene", "node"], "left"))
-    borders = layout.where("seg > 0").groupBy("scene", "seg").agg((F.min("node") - 1).alias("a"), F.max("node").alias("b"))
-    borders = cut(borders)
-    frame = layout.where("node > 0").select("scene", "node", "seg", "c")
-    state = layout.select("scene", "node", "g")
+    runs, levels = _runs(chain, loops, segment)
+    n_runs = runs.count()
+    keys = ["scene", "seg", *[f"up{k + 1}" for k in range(levels)]]
+    types = {"scene": kind} | {k: "long" for k in keys[1:]}
+
+    def schema(names: list[str], rest: str) -> str:
+        return ", ".join(f"{k} {types[k]}" for k in names) + ", " + rest
+
+    steps = "da array<double>, db array<double>, loop_now double, loop_new double, loop_n double"
+    state = runs.drop("fixed").withColumn("tried", F.lit(None).cast("array<double>"))
+    parts = max(1, -(-n_runs // RUNS_PER_TASK))
+    state = cut(state.repartition(parts, "scene", "seg"))
     scenes = cut(
-        looped.select("scene", F.lit(float(lambda_init)).alias("lam"), F.array().cast("array<double>").alias("history"), F.lit(False).alias("done"))
-    )
-    for round_no in range(max_iterations):
-        live = scenes.where("not done").select("scene", "lam")
-        if live.isEmpty():
-            break
-        current = state.join(live.select("scene"), "scene", "left_semi")
-        before = current.select("scene", (F.col("node") + 1).alias("node"), F.col("g").alias("g_prev"))
-        edges = attach(frame.join(current, ["scene", "node"]).join(before, ["scene", "node"]), live, ["scene"])
-        reduced = edges.groupBy("scene", "seg").applyInPandas(_reduce_segment, edge_schema)
-        gi = current.select("scene", F.col("node").alias("i"), F.col("g").alias("g_i"))
-        gj = current.select("scene", F.col("node").alias("j"), F.col("g").alias("g_j"))
-        joined = attach(loops.join(gi, ["scene", "i"]).join(gj, ["scene", "j"]), live, ["scene"])
-        bent = joined.select("scene", "i", "j", "c", "g_i", "g_j", "lam").mapInPandas(_loop_edges, edge_schema)
-        solved = cut(
-            reduced.unionByName(bent)
-            .groupBy("scene")
-            .applyInPandas(_solve_anchors, f"scene {kind}, node long, delta array<double>, cost double, n long")
-        )
-        da = solved.select("scene", F.col("node").alias("a"), F.col("delta").alias("da"))
-        db = solved.select("scene", F.col("node").alias("b"), F.col("delta").alias("db"))
-        spans = borders.join(da, ["scene", "a"]).join(db, ["scene", "b"]).select("scene", "seg", "da", "db")
-        moved = edges.join(spans, ["scene", "seg"]).groupBy("scene", "seg").applyInPandas(
-            _substitute_segment, f"scene {kind}, node long, g_new array<double>, cost_new double"
+        looped.select(
+            "scene", F.lit(float(lambda_init)).alias("lam"), F.array().cast("array<double>").alias("history"),
+            F.lit(False).alias("done"), F.lit(False).alias("converged"), F.lit(False).alias("accepted"),
         )
-        start = current.where("node = 0").join(solved.where("node = 0"), ["scene", "node"]).select(
-            "scene", "node", F.zip_with("g", "delta", lambda x, d: x + d).alias("g_new"), F.lit(0.0).alias("cost_new")
-        )
-        trial = cut(moved.unionByName(start))
-        ti = trial.select("scene", F.col("node").alias("i"), F.col("g_new").alias("g_i"))
-        tj = trial.select("scene", F.col("node").alias("j"), F.col("g_new").alias("g_j"))
-        loop_cost = loops.join(ti, ["scene", "i"]).join(tj, ["scene", "j"]).select("scene", _loop_cost("c", "g_i", "g_j").alias("cost_new"))
-        fresh = trial.select("scene", "cost_new").unionByName(loop_cost).groupBy("scene").agg(F.sum("cost_new").alias("_sum"))
-        now = solved.groupBy("scene").agg(F.max(F.col("cost") / F.col("n")).alias("_now"), F.max("n").alias("_n"))
-        judged = scenes.join(now, "scene", "left").join(fresh, "scene", "left")
+    )
+    n_scenes = scenes.count()
+    few = n_runs <= broadcast_limit(runs)  # steps of all runs, one short row each
+    bent = loops.select("scene", F.col("j").alias("b"), F.col("i").alias("a"), "c")
+    for round_no in range(max_iterations):
+        known = attach(state, scenes.select("scene", "lam", "done", "accepted"), ["scene"], n_scenes)
+        current = known.withColumn("g", F.when(F.col("accepted"), F.col("tried")).otherwise(F.col("g")))
+        live = current.where("not done").select(*keys, "a", "b", "g", "c", "lam")
+        rows = [live.mapInPandas(_edge_rows(keys), schema(keys, EDGE))]
+        for k in range(levels):
+            above = ["scene", *keys[k + 2 :]]
+            rows.append(rows[-1].groupBy("scene", keys[k + 2]).applyInPandas(_reduce(above), schema(above, EDGE)))
+        top = keys[levels + 1]
+        here = rows[-1].select("scene", top, "a", "b", "h", "rhs", "diag", "ga", "gb", "lam", F.lit(None).cast("array<double>").alias("c"))
+        there = attach(bent, scenes.where("not done").select("scene"), ["scene"], n_scenes)
+        solved = here.unionByName(there, allowMissingColumns=True).repartition(parts, "scene").groupBy("scene").applyInPandas(_solve(top), schema(["scene", top], steps))
+        for k in reversed(range(levels)):
+            known_ends = rows[k].join(solved, ["scene", keys[k + 2]])
+            solved = known_ends.groupBy("scene", keys[k + 2]).applyInPandas(_descend(keys[k + 1]), schema(["scene", keys[k + 1]], steps))
+        state = cut(current.join(F.broadcast(solved) if few else solved, ["scene", "seg"], "left").mapInPandas(
+            _move(keys), schema(keys, "a long, b long, g array<double>, c array<double>, tried array<double>, now double, new double, n long")
+        ))
+        costs = state.where("n > 0").groupBy("scene").agg((F.sum("now") / F.sum("n")).alias("_now"), (F.sum("new") / F.sum("n")).alias("_new"))
+        judged = scenes.join(costs, "scene", "left")
         running = F.col("_now").isNotNull()
-        better = running & F.coalesce(F.col("_sum") / F.col("_n") < F.col("_now"), F.lit(False))
-        history = F.when(running, F.concat("history", F.array("_now"))).otherwise(F.col("history"))
-        judged = judged.withColumn("_ok", better).withColumn("history", history)
-        slow = F.element_at(F.slice("history", -5, 1), 1) / F.nullif(F.element_at("history", -1), F.lit(0.0)) < 1.5
-        settled = (F.col("_now") < 1e-5) & (F.size("history") >= 5) & F.coalesce(slow, F.lit(True)) if round_no >= 4 else F.lit(False)
+        judged = judged.withColumn("accepted", running & F.coalesce(F.col("_new") < F.col("_now"), F.lit(False)))
+        judged = judged.withColumn("history", F.when(running, F.concat("history", F.array("_now"))).otherwise(F.col("history")))
+        slow = F.try_divide(F.element_at(F.slice("history", -5, 1), 1), F.element_at("history", -1)) < 1.5
+        settled = F.coalesce(running & (F.col("_now") < 1e-5) & F.coalesce(slow, F.lit(True)), F.lit(False)) if round_no >= 4 else F.lit(False)
+        still = F.coalesce(running & (F.abs(F.col("_new") - F.col("_now")) <= STILL * F.col("_now")), F.lit(False))
+        settled = settled | still
         scenes = cut(
             judged.select(
                 "scene",
-                F.when(~running, F.col("lam")).when(F.col("_ok"), F.col("lam") / 2).otherwise(F.col("lam") * 2).alias("lam"),
+                F.when(~running, F.col("lam")).when(F.col("accepted"), F.col("lam") / 2).otherwise(F.col("lam") * 2).alias("lam"),
                 "history",
-                (F.col("done") | ~running | F.coalesce(settled, F.lit(False))).alias("done"),
-                F.col("_ok").alias("accepted"),
+                (F.col("done") | ~running | settled).alias("done"),
+                (F.col("converged") | settled).alias("converged"),
+                "accepted",
             )
         )
-        took = scenes.where("accepted").select("scene")
-        accepted = trial.join(took, "scene", "left_semi").select("scene", "node", F.col("g_new").alias("_g"))
-        state = cut(state.join(accepted, ["scene", "node"], "left").select("scene", "node", F.coalesce("_g", "g").alias("g")))
-        scenes = scenes.drop("accepted")
-    final = state.withColumn("_x", _transform("g")).select("scene", "node", C.sim3_inverse("_x").alias("sim3"))
-    optimised = to_relative(final)
-    return optimised.unionByName(plain.select("scene", F.col("node").cast("long").alias("node"), "sim3"))
+        state = state.drop("now", "new", "n")
+        if scenes.where("not done").isEmpty():
+            break
+    final = attach(state, scenes.select("scene", "accepted", "converged"), ["scene"], n_scenes)
+    final = final.withColumn("g", F.when(F.col("accepted"), F.col("tried")).otherwise(F.col("g")))
+    tangents = F.transform(F.sequence(F.lit(0), F.col("b") - F.col("a")), lambda k: F.slice(F.col("g"), (k * 7 + 1).cast("int"), 7))
+    spread = final.select("scene", "a", "converged", F.posexplode(tangents).alias("_at", "_g")).where("_at > 0 or a = 0")
+    placed = spread.select("scene", (F.col("a") + F.col("_at")).alias("node"), _transform("_g").alias("_x"))
+    optimised = to_relative(placed.select("scene", "node", C.sim3_inverse("_x").alias("sim3")))
+    optimised = attach(optimised, scenes.select("scene", "converged"), ["scene"], n_scenes)
+    return optimised.unionByName(plain.select("scene", F.col("node").cast("long").alias("node"), "sim3", F.lit(None).cast("boolean").alias("converged")))
 
 
 def graph_cost(steps: DataFrame, seq_edges: DataFrame, loop_edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framespan.functions import columns as C
 from framespan.operators import assembly as A
+from framespan.operators import windows as W
 from framespan.operators.posegraph import graph_cost, optimize_pose_graph
 from framespan.plans.checks_registration import steps
 from framespan.plans.registry import PIXELS_SQL, pixels, query, table
@@ -92,7 +93,7 @@ def pose_graph(spark, sf):
     """Every user's chain gets one loop from its last to its first window, and up to 30 rounds.
 
     SQL knows what must hold: every step is still there, all numbers are finite and no scene's cost is above
-    its start; the tests compare the solution with a dense solver.
+    its start; the optimum itself is compared in ``optimize_pose_graph_turns`` and, in the tests, with a dense solver.
     """
     chain = cut(steps(spark, sf))
     ends = chain.groupBy("scene").agg((F.max("node") + 1).alias("i"))
@@ -106,6 +107,35 @@ def pose_graph(spark, sf):
     return counts.join(after, "scene").join(before, "scene").select("scene", "n_steps", "finite", better.alias("not_worse"))
 
 
+#: Chains of turns about z and scales, without shifts: all commute, so the optimum deals the gap of each loop evenly over its edges.
+TURNS_SQL = """WITH e AS (SELECT user_id AS scene, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node, (event_id % 7 - 3) / 200 AS a, (event_id % 5 - 2) / 100 AS l FROM events),
+n AS (SELECT scene, count(*) AS m, count(*) // 2 AS half FROM e GROUP BY scene),
+cyc AS (SELECT e.*, CASE WHEN node < half THEN 0 ELSE 1 END AS part FROM e JOIN n USING (scene)),
+gap AS (SELECT scene, part, count(*) AS len, sum(a) + (part * 0.0507317 - 0.0013579) AS ga, sum(l) - 0.1013579 AS gl FROM cyc GROUP BY scene, part)
+SELECT cyc.scene, cyc.node, round(a - ga / (len + 1), 5) + 0.0 AS angle, round(l - gl / (len + 1), 5) + 0.0 AS log_scale
+FROM cyc JOIN gap USING (scene, part)"""
+
+
+@query("optimize_pose_graph_turns", TURNS_SQL)
+def pose_graph_turns(spark, sf):
+    """Two loops per user, one over each half of the chain: the optimum is known, and every step is compared."""
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("scene"), "ts", "event_id")
+    numbered = W.number_frames(ev, ["scene"], [F.col("ts"), F.col("event_id")], "node")
+    zero = F.lit(0.0)
+
+    def turn(a, log_scale):
+        c, s = F.cos(a), F.sin(a)
+        return C.sim3(F.exp(log_scale), F.array(c, -s, zero, s, c, zero, zero, zero, F.lit(1.0)), C.vec(zero, zero, zero))
+
+    chain = cut(numbered.select("scene", "node", turn((F.col("event_id") % 7 - 3) / 200, (F.col("event_id") % 5 - 2) / 100).alias("sim3")))
+    sizes = chain.groupBy("scene").agg(F.count("*").alias("m")).withColumn("half", F.floor(F.col("m") / 2))
+    upper = sizes.select("scene", F.col("m").alias("i"), F.col("half").alias("j"), turn(F.lit(0.0013579 - 0.0507317), F.lit(0.1013579)).alias("sim3"))
+    lower = sizes.where("half > 0").select("scene", F.col("half").alias("i"), F.lit(0).cast("long").alias("j"), turn(F.lit(0.0013579), F.lit(0.1013579)).alias("sim3"))
+    out = optimize_pose_graph(chain, upper.unionByName(lower))
+    angle, log_scale = F.atan2(F.col("sim3.r")[3], F.col("sim3.r")[0]), F.log("sim3.s")
+    return out.select("scene", "node", (F.round(angle, 5) + 0.0).alias("angle"), (F.round(log_scale, 5) + 0.0).alias("log_scale"))
+
+
 # --- text sources: written from the tables into the shared folder, then scanned -------------------------
 
 
