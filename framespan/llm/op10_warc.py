@@ -6,7 +6,7 @@ gzip member of its own together with a sidecar index of offsets; records that re
 become revisit records on the way. ``read_indexed`` opens records by offset and checks their digests.
 
 Payloads are written where their rows are, so no text is shuffled; what moves is a narrow table of digests.
-A file is closed after ``FILE_BYTES`` of payload and named after the task attempt; only files that a
+A file is closed after ``FILE_BYTES`` of records and named after the task attempt; only files that a
 finished task reports are used, so a lost executor leaves at most an unused file.
 
 Defined results: a null html is an empty payload; a null url or page_id leaves out the header; among equal
@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framespan.llm.common import cut, scratch
+from framespan.operators.joins import attach
 
 MIN_REVISIT = 1000
 FILE_BYTES = 64_000_000
+#: Tasks at most that archives are dealt to.
+TASKS = 20_000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes read at once from an archive.
@@ -140,9 +143,10 @@ def _write(folder: str, file_bytes: int):
                     name = f"mono-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
                     out, engine, size, seq, number = fs.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0, number + 1
                 digest = hashlib.sha1(payload).hexdigest()
-                out.write(engine.compress(record("response", page_id.as_py(), url.as_py(), payload, digest)))
+                whole = record("response", page_id.as_py(), url.as_py(), payload, digest)
+                out.write(engine.compress(whole))
                 rows.append((name, seq, page_id.as_py(), len(payload), digest))
-                seq, size = seq + 1, size + len(payload)
+                seq, size = seq + 1, size + len(whole)
                 if size >= file_bytes:
                     close()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))] if rows else [pa.array([], k) for k in (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())], names=["file", "seq", "page_id", "payload_bytes", "digest"])
@@ -158,6 +162,11 @@ def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url
     return cut(plain.mapInArrow(_write(folder, file_bytes), _WRITTEN))
 
 
+def per_file(files: DataFrame) -> DataFrame:
+    """One task per archive, up to ``TASKS`` tasks: rows are names of a few bytes, from which Spark would otherwise make a single task."""
+    return files.repartition(max(1, min(TASKS, files.count())))
+
+
 def _normalise(source: str, target: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(source)
@@ -190,12 +199,11 @@ def normalise(written: DataFrame, source: str, target: str, min_revisit: int = M
     alike = written.where(F.col("payload_bytes") >= min_revisit).groupBy("digest", "payload_bytes")
     first = alike.agg(F.max(F.struct("page_id", (-F.col("seq")).alias("before"), "file")).alias("m"), F.count("*").alias("n")).where("n > 1")
     first = first.select("digest", "payload_bytes", F.col("m.page_id").alias("refers_to"), F.col("m.file").alias("_file"), (-F.col("m.before")).alias("_seq"))
-    again = written.join(first, ["digest", "payload_bytes"]).where("file <> _file or seq <> _seq")
+    again = attach(written, first, ["digest", "payload_bytes"]).where("file <> _file or seq <> _seq")
     turned = again.groupBy("file").agg(F.collect_list(F.struct("seq", "refers_to")).alias("t"))
     files = written.select("file").distinct().join(turned, "file", "left")
     tasks = files.select("file", F.col("t.seq").alias("seqs"), F.col("t.refers_to").alias("refers"))
-    tasks = tasks.repartition(F.col("file"))
-    return cut(tasks.mapInArrow(_normalise(source, target), "file string, n long"))
+    return cut(per_file(tasks).mapInArrow(_normalise(source, target), "file string, n long"))
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -228,7 +236,7 @@ def _read(folder: str):
 
 def read_indexed(files: DataFrame, folder: str) -> DataFrame:
     """One row per record of the normalised archives."""
-    return files.select("file").repartition(F.col("file")).mapInArrow(_read(folder), _READ)
+    return per_file(files.select("file")).mapInArrow(_read(folder), _READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:

@@ -205,6 +205,8 @@ def test_monolithic_files_roll_over(spark, tmp_path):
     assert written.select("file").distinct().count() > 3
     files = op10_warc.normalise(written, mono, normal)
     assert op10_warc.read_indexed(files, normal).count() == 50
+    n = written.select("file").distinct().count()
+    assert n > 3 and op10_warc.per_file(files).rdd.getNumPartitions() == n
 
 
 def test_inflate_reads_members_and_refuses_cut_archives():
