@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framespan.operators.joins import attach
 from framespan.operators.ranking import carry_last, smallest_n
 from framespan.session import cut
 
+#: Pairs of a group up to which one task selects among them: some ten megabytes.
+WHOLE_GROUP = 100_000
+
 
 def loop_candidates(pairs: DataFrame, threshold: float = 0.7, gap: int = 10, by: Sequence[str] = ("scene",)) -> DataFrame:
     """Unordered pairs i<j with similarity above ``threshold`` and more than ``gap`` frames apart."""
@@ -18,9 +24,55 @@ def loop_candidates(pairs: DataFrame, threshold: float = 0.7, gap: int = 10, by:
     return kept.groupBy(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("sim").alias("sim"))
 
 
+def _sequential(ends: list[str], radius: int):
+    """Greedy selection over the pairs of one bounded group, best key first.
+
+    Picked ends are kept in bins of ``radius + 1`` frames, so a pair looks at three bins per end.
+    """
+
+    def near(bins: dict[int, list[int]], frame: int) -> bool:
+        at = frame // (radius + 1)
+        return any(abs(frame - f) <= radius for k in (at - 1, at, at + 1) for f in bins.get(k, ()))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table.select(["_order"]).flatten(), sort_keys=[(f"_order.{f.name}", "ascending") for f in table.schema.field("_order").type])
+        frames = [table.column(e).to_pylist() for e in ends]
+        bins: dict[int, list[int]] = {}
+        kept = []
+        for row in order.to_pylist():
+            mine = [f[row] for f in frames]
+            if not any(near(bins, f) for f in mine):
+                kept.append(row)
+                for f in mine:
+                    bins.setdefault(f // (radius + 1), []).append(f)
+        return table.take(pa.array(kept, pa.int64())).drop_columns(["_order"])
+
+    return run
+
+
 def _greedy(pairs: DataFrame, group: Sequence[str], ends: Sequence[str], radius: int, key: Column) -> DataFrame:
     """Greedy best-first selection where a pick removes every pair with an end near its own ends.
 
+    Pairs without an end are left out. Groups of up to ``WHOLE_GROUP`` pairs are finished in one task each, in one pass whatever the order of their pairs; only
+    larger ones are thinned in rounds (``_rounds``). Both give the sequential answer.
+    """
+    group, whole = list(group), WHOLE_GROUP
+    pairs = pairs.dropna(subset=list(ends))
+    sizes = cut(pairs.groupBy(*group).agg(F.count("*").alias("_size")))
+    shape = sizes.agg(F.count("*").alias("groups"), F.max("_size").alias("most")).first()
+    if not shape["groups"]:
+        return pairs
+    sized = attach(pairs, sizes, group, shape["groups"], nulls=True)
+    small = sized.where(F.col("_size") <= whole).drop("_size").withColumn("_order", key)
+    done = small.groupBy(*group).applyInArrow(_sequential(list(ends), radius), pairs.schema)
+    if shape["most"] <= whole:
+        return done
+    return done.unionByName(_rounds(sized.where(F.col("_size") > whole).drop("_size"), group, ends, radius, key))
+
+
+def _rounds(pairs: DataFrame, group: Sequence[str], ends: Sequence[str], radius: int, key: Column) -> DataFrame:
+    """The same selection for groups too large for a task.
+
     Round: a live pair is picked when no better live pair has an end within ``radius`` of its ends.
     That test needs only the best key around each frame, so each round costs a few aggregations on
     frames and never joins pairs with pairs. Repeating until nothing is live gives exactly the

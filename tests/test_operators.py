@@ -102,7 +102,18 @@ def test_salted_join_keeps_every_row(spark, sliced):
     assert out.count() == len(rows)
 
 
-def test_suppression_equals_sequential_greedy(spark):
+def test_suppression_of_a_falling_chain_takes_one_pass(spark):
+    # each pair is the rival of the next: taken in rounds, every round would pick one
+    rows = [("a", k * 6, 10_000 + k * 6, 1.0 - k / 1000) for k in range(200)] + [("a", None, 3, 0.9), (None, 1, 50, 0.5)]
+    df = spark.createDataFrame(rows, "scene string, i long, j long, sim double")
+    got = sorted((r["scene"], r["j"]) for r in loops.nms_pairs(df, 8).where("scene is not null").collect())
+    assert got == [("a", k * 6) for k in range(0, 200, 2)]
+    assert [tuple(r) for r in loops.nms_pairs(df, 8).where("scene is null").collect()] == [(None, 50, 1, 0.5)]
+
+
+@pytest.mark.parametrize("whole", [loops.WHOLE_GROUP, 48])
+def test_suppression_equals_sequential_greedy(spark, whole, monkeypatch):
+    monkeypatch.setattr(loops, "WHOLE_GROUP", whole)
     rng = np.random.default_rng(5)
     pairs, want = [], {}
     for scene in range(3):
