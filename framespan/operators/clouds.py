@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framespan.functions import columns as C
 from framespan.functions.rotations import smallest_eigenvector
-from framespan.operators.joins import attach, group_count
+from framespan.operators.joins import attach, group_count, same_group
 from framespan.operators.ranking import quantiles, smallest_n
 from framespan.session import cut
 
@@ -253,12 +253,17 @@ def voxel_iou(a: DataFrame, b: DataFrame, size: float, by: Sequence[str]) -> Dat
     )
 
 
-def scene_scale(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Diagonal of the 5-95 percentile box of each cloud; 1 where there are no points."""
+def scene_scale(points: DataFrame, by: Sequence[str], clouds: DataFrame | None = None) -> DataFrame:
+    """Diagonal of the 5-95 percentile box of each cloud; 1 where there are no points.
+
+    ``clouds`` names all clouds; without it only those appear that have a row in ``points``.
+    """
     by = list(by)
     tall = points.select(*by, F.posexplode(F.array(*AXES)).alias("_axis", "_value"))
     band = quantiles(tall, [*by, "_axis"], F.col("_value"), {"_lo": (0.05, "linear"), "_hi": (0.95, "linear")})
-    return band.groupBy(*by).agg(F.sqrt(F.sum(F.pow(F.col("_hi") - F.col("_lo"), 2))).alias("scene_scale"))
+    sized = band.groupBy(*by).agg(F.sqrt(F.sum(F.pow(F.col("_hi") - F.col("_lo"), 2))).alias("scene_scale"))
+    named = (points if clouds is None else clouds).select(*by).distinct()
+    return same_group(named, sized, by, "left").withColumn("scene_scale", F.coalesce("scene_scale", F.lit(1.0)))
 
 
 def merge_clouds(clouds: Sequence[DataFrame], percent: float = 0.0) -> tuple[DataFrame, DataFrame]:

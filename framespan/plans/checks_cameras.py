@@ -248,6 +248,33 @@ def normalize_scene(spark, sf):
     return rounded(out.select("frame_id", "v", "u", "x", "z"), "x", "z", digits=6)
 
 
+NORMAL_SQL = f"""{CAM_SQL}, f AS (SELECT scene, c, s, tx, ty, tz FROM cam QUALIFY row_number() OVER (PARTITION BY scene ORDER BY frame_id) = 1),
+p AS (SELECT px.scene, conf > 30 AS valid, f.c*u - f.s*v + f.tx AS x, f.s*u + f.c*v + f.ty AS y, depth + f.tz AS z FROM px JOIN f USING (scene)),
+sc AS (SELECT scene, least(greatest(coalesce(sum(sqrt(x*x+y*y+z*z)) FILTER (WHERE valid), 0) / (count(*) FILTER (WHERE valid) + 1e-3), 1e-3), 1e3) AS scale FROM p GROUP BY 1)"""
+
+
+def normalized(spark, sf):
+    pts = pixels(spark, sf).select("scene", "frame_id", "v", "u", (F.col("conf") > 30).alias("valid"), F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.col("depth").alias("z"))
+    return CA.normalize_scene(camera_frames(spark, sf), pts)
+
+
+@query("normalize_scene_scales", f"WITH {NORMAL_SQL} SELECT scene, round(scale, 6) AS scale FROM sc")
+def normalize_scene_scales(spark, sf):
+    return rounded(normalized(spark, sf)[2], "scale", digits=6)
+
+
+@query(
+    "normalize_scene_poses",
+    f"""WITH {NORMAL_SQL}, b AS (SELECT scene, c, s, -(c*tx + s*ty) AS x, s*tx - c*ty AS y, -tz AS z FROM f)
+SELECT scene, frame_id, round(cam.c*b.c + cam.s*b.s, 6) + 0.0 AS r0, round(cam.s*b.c - cam.c*b.s, 6) + 0.0 AS r3, round((cam.c*b.x - cam.s*b.y + cam.tx) / scale, 6) + 0.0 AS tx,
+ round((cam.s*b.x + cam.c*b.y + cam.ty) / scale, 6) + 0.0 AS ty, round((b.z + cam.tz) / scale, 6) + 0.0 AS tz FROM cam JOIN b USING (scene) JOIN sc USING (scene)""",
+)
+def normalize_scene_poses(spark, sf):
+    r, t = F.col("r"), F.col("t")
+    cells = {"r0": r[0], "r3": r[3], "tx": t[0], "ty": t[1], "tz": t[2]}
+    return normalized(spark, sf)[0].select("scene", "frame_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in cells.items()])
+
+
 # --- tracks and observations: line items observed in frames (suppliers) ------------------------------
 
 

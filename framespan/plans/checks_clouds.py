@@ -153,6 +153,20 @@ def scene_scale(spark, sf):
     return CL.scene_scale(li, ["scene"]).withColumn("scene_scale", F.round("scene_scale", 6))
 
 
+@query(
+    "scene_scale_empty",
+    """WITH p AS (SELECT l_suppkey AS scene, l_quantity AS x, l_extendedprice / 1000 AS y, l_tax * 100 AS z FROM lineitem WHERE l_quantity > 48 AND l_discount = 0.1 AND l_tax < 0.02),
+s AS (SELECT scene, round(sqrt(pow(quantile_cont(x, 0.95) - quantile_cont(x, 0.05), 2) + pow(quantile_cont(y, 0.95) - quantile_cont(y, 0.05), 2) + pow(quantile_cont(z, 0.95) - quantile_cont(z, 0.05), 2)), 6) AS scene_scale FROM p GROUP BY 1)
+SELECT s_suppkey AS scene, coalesce(scene_scale, 1) AS scene_scale FROM supplier LEFT JOIN s ON scene = s_suppkey""",
+)
+def scene_scale_empty(spark, sf):
+    """A strict filter leaves most suppliers without points: these have scale 1."""
+    li = table(spark, sf, "lineitem").where("l_quantity > 48 AND l_discount = 0.1 AND l_tax < 0.02")
+    li = li.select(F.col("l_suppkey").alias("scene"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_tax") * 100).alias("z"))
+    every = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene"))
+    return CL.scene_scale(li, ["scene"], every).withColumn("scene_scale", F.round("scene_scale", 6))
+
+
 @query(
     "merge_clouds",
     """WITH m AS (SELECT 'items' AS cloud, l_extendedprice AS conf FROM lineitem UNION ALL SELECT 'orders', o_totalprice FROM orders UNION ALL SELECT 'events', value FROM events),
