@@ -343,6 +343,28 @@ def observations(spark, sf):
     return out.select("scene", "image_id", "point2d_idx", F.round("ox", 5).alias("ox"), F.round("oy", 5).alias("oy"), "point_id")
 
 
+KEPT_SQL = f"""{OBS_SQL}, il AS (SELECT * FROM er WHERE error < 2.47), fr AS (SELECT cm.scene, cm.frame_id, count(track_id) AS n FROM cm LEFT JOIN il ON il.scene = cm.scene AND il.frame_id = cm.frame_id GROUP BY 1, 2),
+weak AS (SELECT scene, min(n) AS min_inliers FROM fr GROUP BY 1)"""
+
+
+@query(
+    "observation_points",
+    f"""WITH {KEPT_SQL}, us AS (SELECT * FROM il WHERE scene IN (SELECT scene FROM weak WHERE min_inliers >= 20)),
+tr AS (SELECT scene, track_id, count(*) AS n_inliers, row_number() OVER (PARTITION BY scene ORDER BY track_id) AS point_id FROM us GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT scene, track_id, point_id, n_inliers, x, y, z FROM tr JOIN pt USING (scene, track_id)""",
+)
+def observation_points(spark, sf):
+    obs, pts, cams = observation_inputs(spark, sf)
+    return TK.observations(obs, pts, cams, max_error=2.47, min_per_frame=20)["points"].select("scene", "track_id", "point_id", "n_inliers", "x", "y", "z")
+
+
+@query("observation_rejects", f"WITH {KEPT_SQL} SELECT scene, min_inliers FROM weak WHERE min_inliers < 1000")
+def observation_rejects(spark, sf):
+    """Scenes with a frame of fewer inliers than asked for; the bar is set where scenes fail."""
+    obs, pts, cams = observation_inputs(spark, sf)
+    return TK.observations(obs, pts, cams, max_error=2.47, min_per_frame=1000)["rejected"]
+
+
 @query(
     "observations_direct",
     """WITH p AS (SELECT event_type AS scene, event_id, value AS px, user_id AS frame_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS point_id FROM events)
