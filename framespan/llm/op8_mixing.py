@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The corpus of a source is cut into blocks of ``block_chars`` characters. Sources have whole-number
-weights a_s with sum W; time is counted in blocks. Block i of a source is released at floor(i·W/a_s) and
-due at ceil((i+1)·W/a_s); in each slot the released block with the earliest deadline is taken. Weights
-sum to one, so every deadline is met and after any number of slots each source has had its share to
-within less than one block.
-
-Because the weights are whole numbers the schedule repeats after W slots. One period (W is a bounded
-parameter, one small loop on the driver over sources, not documents) therefore places every block by
-arithmetic: slot = (i div a_s)·W + place(s, i mod a_s). Blocks per source come from a distributed running
-sum of lengths over range partitions, which split a source as often as its rows need.
-
-When a source runs out the others go on with their own weights: a new phase with a new period. So each
-document is placed exactly once and within each phase the deviation bound holds.
+weights a_s. In the ideal mixture every slot is divided among the sources that still have blocks, in
+proportion to their weights; so with n_s blocks source s has had min(a_s·v, n_s) of them at virtual time
+v, and the slots passed are T(v), the sum of that over all sources. Block i is released at
+floor(T(i/a_s)) and due at ceil(T((i+1)/a_s)). In each slot the released block with the earliest deadline
+is taken (ties: by source, then block). The ideal mixture fills every window, so all deadlines are met, no slot
+stays empty and after any number of slots each source is less than one block away from its ideal share,
+also when others have run out.
+
+All of it is done on tables, for any number of sources. T is a running sum over block edges and ends of
+sources ordered by virtual time, in whole numbers. Earliest deadline first is a fixed priority, so it is cut
+in halves by deadline: the urgent half takes the first free slot after each release whatever the other half
+holds (a running minimum tells which slots it fills), the rest shares what it leaves free. Both halves
+are smaller schedules of the same kind, cut again until they have ``leaf`` blocks, which one task orders
+with a heap. Positions of documents come from running sums over range partitions, which split a source as
+often as its rows need. Only totals (blocks, weights) reach the driver.
 
 Defined results: a null source is a source of its own; a null or empty text takes one character; a source
-without a target weight gets ``default_weight``; rows repeated in full share one place; an empty table
-gives an empty result; other columns pass through, but for those named like a result column.
+without a target weight gets ``default_weight``; weights that sum to more than ``SCALE`` are scaled down to it, with
+1 at least; rows repeated in full share one place; an empty table gives an empty result; a text longer than a
+block uses up the slots of all blocks it fills; other columns pass through, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -25,72 +29,135 @@ import heapq
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framespan.llm.common import cut, row_key
 
 BLOCK_CHARS = 64_000
-#: Target weights are whole numbers that sum to about this, with 1 at least for each source.
-PERIOD = 1000
-
-
-def period(weights: Mapping[str, int]) -> list[str]:
-    """One period of the earliest-deadline-first order: the source of each of sum(weights) slots."""
-    total = sum(weights.values())
-    waiting = [(0, s) for s in sorted(weights)]
-    done = dict.fromkeys(weights, 0)
-    ready: list[tuple[int, str]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s))
-        due, s = heapq.heappop(ready)
-        assert slot < due, "weights that sum to one meet all deadlines"
-        done[s] += 1
-        out.append(s)
-        if done[s] < weights[s]:
-            heapq.heappush(waiting, (done[s] * total // weights[s], s))
+#: Whole-number weights sum to about this at most, so a share is met to a billionth and all sums fit 64 bits.
+SCALE = 1_000_000_000
+#: Blocks that one task orders with a heap.
+LEAF = 1 << 17
+#: Block edges that one task writes.
+_EDGES = 1 << 22
+_RUN = 1 << 16
+
+
+def whole_weights(sizes: DataFrame, weights: Mapping[str, int] | None = None, default_weight: int = 1, alpha: float = 0.5) -> DataFrame:
+    """``sizes`` (_s, chars) with the whole weight ``_a``: the given one, or proportional to chars^alpha (tempered sampling)."""
+    if weights:
+        if min([default_weight, *weights.values()]) < 1:
+            raise ValueError("weights are whole numbers from 1")
+        named = sizes.sparkSession.createDataFrame([(f"={k}", int(v)) for k, v in weights.items()], "_s string, _given long")
+        goal = sizes.join(named, "_s", "left").withColumn("_x", F.coalesce("_given", F.lit(default_weight)).cast("decimal(28,6)")).drop("_given")
+    else:
+        goal = sizes.withColumn("_x", F.pow(F.greatest("chars", F.lit(1)).cast("double"), F.lit(float(alpha))).cast("decimal(28,6)"))
+    goal = cut(goal)
+    total = float(goal.agg(F.sum("_x")).first()[0] or 1)
+    if weights and total <= SCALE:
+        return goal.select("_s", "chars", F.col("_x").cast("long").alias("_a"))
+    share = F.round(F.col("_x").cast("double") * F.lit(SCALE / total)).cast("long")
+    return goal.select("_s", "chars", F.greatest(F.lit(1).cast("long"), share).alias("_a"))
+
+
+def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows written in range partitions of ``order``, whose number is ``_part``."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def _running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """Inclusive running sums over the whole table, by slices and a table of one row per slice."""
+    sliced = _sliced(df, order)
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("_part").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    before = totals.select("_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    local = sliced.select("*", *[F.sum(v).over(upto).alias(n) for n, v in sums.items()])
+    joined = local.join(before, "_part")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums])
+
+
+def windows(blocks: DataFrame) -> DataFrame:
+    """(_s, block, _r, _d): release and deadline slots of every block of ``blocks`` (_s, _n, _a)."""
+    count, weight = blocks.agg(F.sum("_n"), F.sum("_a")).first()
+    runs = blocks.withColumn("_run", F.explode(F.expr(f"sequence(0L, _n div {_RUN})"))).repartition(1 + count // _EDGES, "_s", "_run")
+    edges = runs.withColumn("_i", F.explode(F.expr(f"sequence(_run * {_RUN}, least(_n, _run * {_RUN} + {_RUN - 1}))")))
+    none = F.lit(0).cast("long")
+    edges = edges.select("_s", "_n", "_a", "_i", F.lit(1).alias("_kind"), none.alias("_da"), none.alias("_dn"))
+    ends = blocks.select("_s", "_n", "_a", F.col("_n").alias("_i"), F.lit(0).alias("_kind"), F.col("_a").alias("_da"), F.col("_n").alias("_dn"))
+    # virtual time i/a as its whole part and 18 digits: different times differ for weights up to 10^9
+    timed = edges.unionByName(ends).selectExpr("*", "_i div _a AS _q", "_i % _a AS _m").selectExpr("*", "(_m * 1000000000L) div _a AS _f1", "((_m * 1000000000L) % _a * 1000000000L) div _a AS _f2")
+    passed = _running(timed, ["_q", "_f1", "_f2", "_kind", "_s", "_i"], _gone=F.col("_da"), _done=F.col("_dn")).where("_kind = 1")
+    at = passed.withColumn("_live", F.lit(weight) - F.col("_gone")).withColumn("_whole", F.expr("_live * _q + _done"))
+    at = at.selectExpr("_s", "_n", "_i", "_whole + (_live * _m) div _a AS _floor", "_whole + (_live * _m + _a - 1) div _a AS _ceil")
+    starts = at.where("_i < _n").selectExpr("_s", "_i AS block", "_floor AS _r", "CAST(NULL AS BIGINT) AS _d")
+    dues = at.where("_i > 0").selectExpr("_s", "_i - 1 AS block", "CAST(NULL AS BIGINT) AS _r", "_ceil AS _d")
+    return starts.unionAll(dues).groupBy("_s", "block").agg(F.max("_r").alias("_r"), F.max("_d").alias("_d"))
+
+
+def _halves(items: DataFrame, half: int) -> DataFrame:
+    """Cut each node in two by priority: jobs and slots move to the child that owns them, with their place in its own time."""
+    columns = ["_node", "_pos", "_kind", "_prio", "_slot"]
+    urgent = (F.col("_kind") == 0) & (F.floor(F.col("_prio") / half) % 2 == 0)
+    order = ["_pos", "_kind", "_prio"]
+    sliced = _sliced(items, ["_node", *order])
+    rows = Window.partitionBy("_node", "_part").orderBy(*order)
+    upto, before = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumn("_came", F.sum(urgent.cast("long")).over(upto))
+    # urgent blocks that have come, less the slots passed; its least value so far counts the slots they left free
+    local = local.withColumn("_spare", F.when(F.col("_kind") == 1, F.col("_came") - F.col("_pos") - 1))
+    parts = local.groupBy("_node", "_part").agg(F.max("_came").alias("_sum"), F.min("_spare").alias("_min"))
+    earlier = Window.partitionBy("_node").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_came0", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_spare0", F.least(F.lit(0), F.min(F.col("_min") + F.col("_came0")).over(earlier))).drop("_sum", "_min")
+    seen = local.withColumn("_least", F.min("_spare").over(before)).join(parts, ["_node", "_part"])
+    filled = F.col("_pos") + F.least("_spare0", F.col("_least") + F.col("_came0"))
+    seen = seen.withColumn("_filled", filled).withColumn("_first", F.when(F.col("_kind") == 0, urgent).otherwise(F.col("_came") + F.col("_came0") > F.col("_filled")))
+    moved = seen.withColumn("_node", F.col("_node") * 2 + F.when(F.col("_first"), 0).otherwise(1))
+    return moved.withColumn("_pos", F.when(F.col("_first"), F.col("_filled")).otherwise(F.col("_pos") - F.col("_filled"))).select(*columns)
+
+
+def earliest_first(release: np.ndarray, priority: np.ndarray) -> np.ndarray:
+    """The slot of each unit job, when the released one of least priority number goes first and no slot stays empty."""
+    order = np.lexsort((priority, release)).tolist()
+    came, urgency = release.tolist(), priority.tolist()
+    out = np.empty(len(order), np.int64)
+    ready: list[tuple[int, int]] = []
+    at = 0
+    for slot in range(len(order)):
+        while at < len(order) and came[order[at]] <= slot:
+            heapq.heappush(ready, (urgency[order[at]], order[at]))
+            at += 1
+        out[heapq.heappop(ready)[1]] = slot
     return out
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple]:
-    """(source, first block, blocks, first slot, weight, W, places) for each source in each phase.
-
-    A phase lasts until the first source has no block left; then the rest start a new period.
-    """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(left, 0)
-    start, out = 0, []
-    while left:
-        active = {s: weights[s] for s in left}
-        order = period(active)
-        total = len(order)
-        place: dict[str, list[int]] = {s: [] for s in active}
-        for slot, s in enumerate(order):
-            place[s].append(slot)
-        end = min(((n - 1) // active[s]) * total + place[s][(n - 1) % active[s]] + 1 for s, n in left.items())
-        full, rest = divmod(end, total)
-        for s in list(left):
-            n = full * active[s] + sum(p < rest for p in place[s])
-            if n:
-                out.append((s, used[s], n, start, active[s], total, place[s]))
-            used[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += end
-    return out
+def _leaf(items: pd.DataFrame) -> pd.DataFrame:
+    jobs = items[items["_kind"] == 0]
+    slots = items[items["_kind"] == 1].sort_values("_pos")["_slot"].to_numpy()
+    at = earliest_first(jobs["_pos"].to_numpy(), jobs["_prio"].to_numpy())
+    return pd.DataFrame({"_prio": jobs["_prio"].to_numpy().astype("int64"), "slot": slots[at].astype("int64")})
 
 
-def target_weights(chars: Mapping[str, int], alpha: float = 0.5, total: int = PERIOD) -> dict[str, int]:
-    """Whole weights proportional to chars^alpha (tempered sampling), 1 at least, summing to about ``total``."""
-    tempered = {s: max(1, n) ** alpha for s, n in chars.items()}
-    whole = sum(tempered.values())
-    return {s: max(1, round(total * x / whole)) for s, x in tempered.items()}
+def slots(blocks: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(_s, block, slot) for every block of ``blocks`` (_s, _n, _a): earliest deadline first over all sources."""
+    due = _running(windows(blocks), ["_d", "_s", "block"], _rank=F.lit(1))
+    jobs = cut(due.select("_s", "block", "_r", "_d", (F.col("_rank") - 1).cast("long").alias("_prio")))
+    total = jobs.count()
+    none = F.lit(None).cast("long")
+    time = blocks.sparkSession.range(total).select(F.lit(0).cast("long").alias("_node"), F.col("id").alias("_pos"), F.lit(1).alias("_kind"), none.alias("_prio"), F.col("id").alias("_slot"))
+    items = jobs.select(F.lit(0).cast("long").alias("_node"), F.col("_r").alias("_pos"), F.lit(0).alias("_kind"), "_prio", none.alias("_slot")).unionByName(time)
+    size = leaf
+    while size < total:
+        size *= 2
+    while size > leaf:
+        size //= 2
+        items = _halves(items, size)
+    placed = items.groupBy("_node").applyInPandas(_leaf, "_prio long, slot long")
+    return jobs.join(placed, "_prio").select("_s", "block", "slot")
 
 
 _STARTS = "_s string, _k0 long, _k1 long, _n long, _len long, _part int, _local long"
@@ -122,7 +189,7 @@ def source_and_key(source_col: str, id_col: str, text_col: str) -> list:
     return [source.alias("_s"), *row_key(F.col(id_col), source, F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, default_weight: int = 1, alpha: float = 0.5, seed: int = 8) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, default_weight: int = 1, alpha: float = 0.5, seed: int = 8, leaf: int = LEAF) -> DataFrame:
     """(_k0, _k1, block, slot, offset) for each distinct row: its place in the mixture.
 
     ``block`` counts within the source, ``slot`` over the whole mixture, ``offset`` is where the document
@@ -137,23 +204,17 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, source_c
     dealt = units.repartitionByRange(*order).sortWithinPartitions(*order).select("_s", "_k0", "_k1", "_n", "_len", F.spark_partition_id().alias("_part"))
     local = cut(dealt.mapInArrow(_local_starts, _STARTS))
     parts = local.groupBy("_s", "_part").agg(F.sum("_len").alias("_sum"))
-    sizes = {r._s: r.chars for r in parts.groupBy("_s").agg(F.sum("_sum").alias("chars")).collect()}
-    if not sizes:
+    sizes = whole_weights(parts.groupBy("_s").agg(F.sum("_sum").alias("chars")), weights, default_weight, alpha)
+    blocks = cut(sizes.selectExpr("_s", f"(chars + {block_chars - 1}) div {block_chars} AS _n", "_a"))
+    if blocks.isEmpty():
         return spark.createDataFrame([], "_k0 long, _k1 long, block long, slot long, offset long")
-    named = {f"={k}": v for k, v in (weights or {}).items()}
-    goal = {s: named.get(s, default_weight) for s in sizes} if weights else target_weights(sizes, alpha)
-    steps = phases({s: -(-chars // block_chars) for s, chars in sizes.items()}, goal)
-    plan = spark.createDataFrame(steps, "_s string, _first long, _blocks long, _slot0 long, _a long, _w long, _places array<int>")
-    if len(steps) <= 10_000:
-        plan = F.broadcast(plan)
     earlier = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_s", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     start = F.col("_local") + F.col("_before")
     placed = local.join(offsets, ["_s", "_part"]).withColumn("block", F.floor(start / block_chars)).withColumn("offset", start - F.col("block") * block_chars)
-    placed = placed.join(plan, "_s").where("block >= _first and block < _first + _blocks")
-    nth = F.col("block") - F.col("_first")
-    slot = F.col("_slot0") + F.floor(nth / F.col("_a")) * F.col("_w") + F.element_at("_places", (nth % F.col("_a")).cast("int") + 1)
-    return placed.select("_k0", "_k1", "block", slot.cast("long").alias("slot"), "offset")
+    # a block holds the starts of ``block_chars`` documents at most, so no key is hot
+    placed = placed.join(slots(blocks, leaf), ["_s", "block"])
+    return placed.select("_k0", "_k1", "block", "slot", "offset")
 
 
 def mix(docs: DataFrame, *args, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
+import math
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,28 +322,77 @@ def test_proximity(spark):
 # --- mixing ------------------------------------------------------------------------------------------
 
 
-def test_pfair_deviation():
-    r = random.Random(2)
-    for _ in range(50):
-        weights = {f"s{i}": r.randint(1, 30) for i in range(r.randint(1, 12))}
-        total, done = sum(weights.values()), dict.fromkeys(weights, 0)
-        for slot, s in enumerate(op8_mixing.period(weights)):
-            done[s] += 1
-            assert all(abs(done[k] * total - w * (slot + 1)) < total for k, w in weights.items())
-        assert done == weights
-
-
-def test_phases_place_every_block_once():
-    blocks, weights = {"a": 17, "b": 5, "c": 1, "d": 40}, {"a": 3, "b": 2, "c": 7, "d": 1}
-    slots = {}
-    for s, first, n, slot0, a, w, places in op8_mixing.phases(blocks, weights):
-        for i in range(n):
-            slots[(s, first + i)] = slot0 + i // a * w + places[i % a]
-    assert {s: sum(k[0] == s for k in slots) for s in blocks} == blocks
-    assert sorted(slots.values()) == list(range(sum(blocks.values())))
-    for s, n in blocks.items():
-        mine = [slots[(s, i)] for i in range(n)]
-        assert mine == sorted(mine)
+def ideal(blocks):
+    """blocks {source: (n, weight)}: the ideal share of each source after each slot, in exact fractions."""
+    got, out = dict.fromkeys(blocks, Fraction(0)), []
+    for _ in range(sum(n for n, _ in blocks.values())):
+        left = Fraction(1)
+        while left:
+            live = {s: w for s, (n, w) in blocks.items() if got[s] < n}
+            total = sum(live.values())
+            step = min([left, *[(blocks[s][0] - got[s]) * total / w for s, w in live.items()]])
+            for s, w in live.items():
+                got[s] += step * w / total
+            left -= step
+        out.append(dict(got))
+    return out
+
+
+def brute_mixture(blocks):
+    """Releases and deadlines read off the ideal mixture (exact), then one heap over the whole mixture."""
+    def passed(v):
+        return sum((min(w * v, Fraction(n)) for n, w in blocks.values()), Fraction(0))
+
+    jobs = [(math.floor(passed(Fraction(i, w))), math.ceil(passed(Fraction(i + 1, w))), s, i) for s, (n, w) in blocks.items() for i in range(n)]
+    jobs.sort()
+    ready, out, at = [], {}, 0
+    for slot in range(len(jobs)):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        due, s, i = heapq.heappop(ready)
+        assert slot < due
+        out[(s, i)] = slot
+    return out
+
+
+def block_table(spark, blocks):
+    return spark.createDataFrame([(s, n, w) for s, (n, w) in blocks.items()], "_s string, _n long, _a long")
+
+
+@pytest.mark.parametrize("seed, leaf", [(1, 4), (2, 16), (3, 1 << 17)])
+def test_mixture_brute_force(spark, seed, leaf):
+    r = random.Random(seed)
+    blocks = {f"s{i}": (r.choice([1, 1, 2, 7, r.randint(1, 60)]), r.choice([1, 3, r.randint(1, 50)])) for i in range(r.randint(3, 14))}
+    blocks["equal"] = blocks["s1"]
+    got = {(x._s, x.block): x.slot for x in op8_mixing.slots(block_table(spark, blocks), leaf).collect()}
+    assert got == brute_mixture(blocks)
+    done, owner = dict.fromkeys(blocks, 0), {slot: s for (s, _), slot in got.items()}
+    assert sorted(owner) == list(range(len(got)))
+    for slot, share in enumerate(ideal(blocks)):
+        done[owner[slot]] += 1
+        assert all(abs(done[s] - share[s]) < 1 for s in blocks)
+
+
+def test_many_sources_meet_their_shares(spark):
+    blocks = {"large": (4000, 31_500), **{f"s{i}": (1 + i % 2, 1) for i in range(5000)}}
+    got = {(x._s, x.block): x.slot for x in op8_mixing.slots(block_table(spark, blocks), 1 << 10).collect()}
+    assert sorted(got.values()) == list(range(4000 + 7500))
+    # 31,500 of 36,500: block i of the large source falls into its own window, to less than a block
+    for i in range(4000):
+        assert i * 36_500 // 31_500 <= got[("large", i)] < -(-(i + 1) * 36_500 // 31_500)
+
+
+def test_whole_weights(spark):
+    sizes = spark.createDataFrame([("=a", 100), ("=b", 400), ("null", 0)], "_s string, chars long")
+    tempered = {x._s: x._a for x in op8_mixing.whole_weights(sizes).collect()}
+    assert abs(tempered["=b"] / tempered["=a"] - 2) < 1e-6 and abs(sum(tempered.values()) - op8_mixing.SCALE) <= 3
+    given = {x._s: x._a for x in op8_mixing.whole_weights(sizes, {"a": 7, "other": 2}, default_weight=3).collect()}
+    assert given == {"=a": 7, "=b": 3, "null": 3}
+    huge = {x._s: x._a for x in op8_mixing.whole_weights(sizes, {"a": 10**14, "b": 1}).collect()}
+    assert huge["=a"] == op8_mixing.SCALE and huge["=b"] == huge["null"] == 1
+    with pytest.raises(ValueError):
+        op8_mixing.whole_weights(sizes, {"a": 0})
 
 
 def test_mixing(spark, awkward, empty):
