@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +71,8 @@ def attribute_tokens(text: str) -> tuple[tuple[str, ...], str | None]:
 def parse(page: str) -> Dom:
     dom = Dom(["#root"], [-1], [0], [0], [()], [None])
     stack = [0]
+    #: levels of the stack at which each name stands, so that no tag has to look through the stack
+    levels: defaultdict[str, list[int]] = defaultdict(list)
     hidden = 0
     at = 0
 
@@ -81,20 +84,20 @@ def parse(page: str) -> Dom:
         nonlocal hidden
         while len(stack) > level:
             done = stack.pop()
+            levels[dom.tag[done]].pop()
             dom.after[done] = len(dom.tag)
             if dom.tag[done] in HIDDEN:
                 hidden -= 1
             elif dom.tag[done] in BLOCK and not hidden:
                 dom.runs.append((stack[-1], None))
 
+    def highest(names) -> int:
+        return max((levels[n][-1] for n in names if levels[n]), default=0)
+
     def end_open(names, fences) -> None:
-        for level in range(len(stack) - 1, 0, -1):
-            tag = dom.tag[stack[level]]
-            if tag in names:
-                close_to(level)
-                return
-            if tag in fences:
-                return
+        level = highest(names)
+        if level and level >= highest(fences):
+            close_to(level)
 
     end = len(page)
     while at < end:
@@ -106,13 +109,7 @@ def parse(page: str) -> Dom:
         at = found.end()
         if found[1]:
             name = found[1].lower()
-            for level in range(len(stack) - 1, 0, -1):
-                tag = dom.tag[stack[level]]
-                if tag == name:
-                    close_to(level)
-                    break
-                if tag in _SCOPE and name not in ("body", "html", "article", "main", "table"):
-                    break
+            end_open({name}, () if name in _SCOPE else _SCOPE)
         elif found[2]:
             name = found[2].lower()
             if name in _CLOSES_P:
@@ -137,6 +134,7 @@ def parse(page: str) -> Dom:
             dom.mark.append(mark)
             if name in VOID or rest.endswith("/"):
                 continue
+            levels[name].append(len(stack))
             stack.append(number)
             hidden += name in HIDDEN
             if name in RAW:

@@ -113,6 +113,13 @@ def test_dom_reading():
     assert parse("<div>" * 30_000 + "deep").depth[-1] == 30_000
 
 
+@pytest.mark.parametrize("page", ["<b><i></u>" * 100_000, "<u><article>" + "<b>" * 20_000 + "</u>" * 20_000, "<a =x" + "a" * 1_000_000 + ">", "<p><td>" + "<b>" * 20_000 + "<hr>" * 20_000])
+def test_reading_takes_linear_time(page):
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 10
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return op7_html_trees.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
