@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pytest
