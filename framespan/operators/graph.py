@@ -8,38 +8,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan.functions import columns as C
+from framespan.operators.joins import attach
 from framespan.operators.ranking import ranked
 from framespan.session import cut
 
 
-def _smallest_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("_m"))
+#: Edges of one node that one task joins; a node with more is a hub.
+HUB_EDGES = 1_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _deal_hubs(edges: DataFrame, least: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Deal the edges (u, v) of hubs over sub-keys ``_salt`` of about ``hub_edges`` edges; hubs of ``least`` are copied to theirs.
+
+    There are at most edges / ``hub_edges`` hubs. Nodes that are none have the sub-key 0 only.
+    """
+    dealt = least.withColumn("_salts", F.ceil(F.col("_n") / hub_edges).cast("int"))
+    hubs = dealt.where("_salts > 1").select("u", "_salts")
+    marked = attach(edges, hubs, ["u"], how="left")
+    own = F.coalesce(F.pmod(F.xxhash64("v"), F.col("_salts")), F.lit(0)).cast("int")
+    copies = dealt.select("u", "_m", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    return marked.select("u", "v", own.alias("_salt")), copies
+
+
+def _with_smallest(edges: DataFrame, hub_edges: int) -> DataFrame:
+    """Attach to each row (u, v) the smallest neighbour ``_m`` of u."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")))
+    if least.where(F.col("_n") > hub_edges).isEmpty():
+        return edges.join(least.drop("_n"), "u")
+    dealt, copies = _deal_hubs(edges, least, hub_edges)
+    return dealt.join(copies, ["u", "_salt"]).drop("_salt")
+
+
+def _large_star(edges: DataFrame, hub_edges: int) -> DataFrame:
     """Connect every larger neighbour of u to the smallest node around u."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    joined = both.join(_smallest_neighbour(both), "u")
+    joined = _with_smallest(both, hub_edges)
     root = F.least("_m", "u")
     return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), root.alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub_edges: int) -> DataFrame:
     """Connect u and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    joined = down.join(_smallest_neighbour(down), "u")
+    joined = _with_smallest(down, hub_edges)
     out = joined.select(F.explode(F.array("u", "v")).alias("a"), F.col("_m").alias("b"))
     return out.where("a > b").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", hub_edges: int = HUB_EDGES) -> DataFrame:
     """(node, component): component is the smallest node id reachable from the node.
 
     Alternates the two star operations until the edge set stops changing (logarithmically many
-    rounds, hub nodes included). Each round only aggregates and joins on node ids; the edge set is
-    written to the checkpoint folder. ``nodes`` (column ``node``) adds isolated nodes.
+    rounds, hub nodes included). Each round only aggregates and joins on node ids; the edges of a node
+    with more than ``hub_edges`` are dealt over sub-keys, so no task joins a whole star. The edge set is
+    written to the checkpoint folder, once between the two operations. ``nodes`` (column ``node``) adds isolated nodes.
     """
     named = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     seen = named.select(F.col("a").alias("node")).unionByName(named.select(F.col("b").alias("node")))
@@ -52,7 +76,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b
 
     before = fingerprint(work)
     while True:
-        work = cut(_small_star(_large_star(work)))
+        work = cut(_small_star(cut(_large_star(work, hub_edges)), hub_edges))
         after = fingerprint(work)
         if after == before:
             break

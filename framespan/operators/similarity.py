@@ -15,29 +15,34 @@ from framespan.operators.joins import attach, group_count
 BLOCK_ROWS = 2048
 
 
+def _best(sims: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> pd.DataFrame:
+    """The best ``k`` columns of each row, by similarity and then by id, so equal scores are cut the same way everywhere."""
+    by_id = np.argsort(others, kind="stable")
+    sims, others = sims[:, by_id], others[by_id]
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    rows, cols = np.repeat(np.arange(len(ids)), top.shape[1]), top.reshape(-1)
+    values = sims[rows, cols]
+    real = np.isfinite(values)
+    return pd.DataFrame({"i": ids[rows[real]], "j": others[cols[real]], "sim": values[real]})
+
+
 def _block_topk(k: int, by: list[str]):
-    """Best k right rows for each left row of one block pair, as a matrix product."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({**{c: [] for c in by}, "i": [], "j": [], "sim": []})
-        a = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        b = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        ids_a, ids_b = left["frame_id"].to_numpy(), right["frame_id"].to_numpy()
-        sims = a @ b.T
-        sims[ids_a[:, None] == ids_b[None, :]] = -np.inf
-        # order by similarity, then by id, so equal scores are cut the same way everywhere
-        by_id = np.argsort(ids_b, kind="stable")
-        sims, ids_b = sims[:, by_id], ids_b[by_id]
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids_a)), top.shape[1])
-        cols = top.reshape(-1)
-        values = sims[rows, cols]
-        real = np.isfinite(values)
-        head = {c: left[c].iloc[0] for c in by}
-        out = pd.DataFrame({"i": ids_a[rows[real]], "j": ids_b[cols[real]], "sim": values[real]})
+    """Best k partners within one unordered pair of blocks, for the rows of both, from one matrix product."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["_a"].iloc[0], rows["_b"].iloc[0]
+        vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        ids, home = rows["frame_id"].to_numpy(), rows["_home"].to_numpy()
+        if low == high:
+            sims = vectors @ vectors.T
+            sims[ids[:, None] == ids[None, :]] = -np.inf
+            out = _best(sims, ids, ids, k)
+        else:
+            left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
+            sims = vectors[left] @ vectors[right].T
+            out = pd.concat([_best(sims, ids[left], ids[right], k), _best(sims.T, ids[right], ids[left], k)])
         for c in by:
-            out[c] = head[c]
+            out[c] = rows[c].iloc[0]
         return out[[*by, "i", "j", "sim"]]
 
     return run
@@ -46,23 +51,20 @@ def _block_topk(k: int, by: list[str]):
 def topk_similar(desc: DataFrame, k: int, by: Sequence[str] = ("scene",), block: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k neighbours by inner product inside each scene: (scene, i, j, sim, rank).
 
-    Frames are hashed into blocks of about ``block`` rows; each block pair is one small matrix
-    product that emits only k rows per left frame, so a long scene spreads over many tasks and no
-    list of all pairs ever exists. Self pairs are excluded by id; ties go to the smaller id.
+    Frames are hashed into blocks of about ``block`` rows. The product is symmetric, so each unordered
+    pair of blocks is one task with one small matrix product that emits k rows per frame of either block:
+    a frame is copied once per block, a long scene spreads over many tasks and no
+    list of all pairs ever exists. Self pairs are excluded by id (rows of one id share a block); ties go to the smaller id.
     """
     by = list(by)
     sizes = desc.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
     rows = attach(desc.select(*by, "frame_id", "embedding"), sizes, by)
-    home = F.pmod(F.xxhash64("frame_id"), F.col("_nb")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    left = rows.withColumn("_a", home).withColumn("_b", others).drop("_nb")
-    right = rows.withColumn("_b", home).withColumn("_a", others).drop("_nb")
-    keys = [*by, "_a", "_b"]
+    rows = rows.withColumn("_home", F.pmod(F.xxhash64("frame_id"), F.col("_nb")).cast("int"))
+    dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    dealt = dealt.select(*by, "frame_id", "embedding", "_home", F.least("_home", "_other").alias("_a"), F.greatest("_home", "_other").alias("_b"))
     kinds = dict(desc.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + [f"i {kinds['frame_id']}", f"j {kinds['frame_id']}", "sim double"])
-    # fresh column ids: both sides come from one table
-    left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_topk(k, by), schema)
+    partial = dealt.groupBy(*by, "_a", "_b").applyInPandas(_block_topk(k, by), schema)
     best = Window.partitionBy(*by, "i").orderBy(F.desc("sim"), "j")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

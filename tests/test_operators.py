@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framespan.functions import columns as C
 from framespan.functions.columns import natural_key
-from framespan.operators import clouds, graph, loops, ranking, registration, sampling, windows
+from framespan.operators import clouds, graph, loops, ranking, registration, sampling, similarity, windows
 
 
 @pytest.fixture
@@ -245,3 +247,47 @@ def test_inverse_and_chain(spark):
     flat = graph.accumulate_sim3(df, ["scene"], "node", block=1000).orderBy("node").collect()
     deep = graph.accumulate_sim3(df, ["scene"], "node", block=3).orderBy("node").collect()
     assert np.allclose([a.total.t for a in flat], [b.total.t for b in deep])
+
+
+def test_hubs_are_dealt_over_tasks(spark):
+    r = random.Random(3)
+    star = [(0, i) for i in range(1, 3000)]
+    chain = [(5000 + i, 5001 + i) for i in range(40)]
+    more = [(r.randint(6000, 6300), r.randint(6000, 6300)) for _ in range(200)]
+    edges = spark.createDataFrame(star + chain + more + [(9, 9), (3, 0)], "a long, b long")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in star + chain + more + [(9, 9)]:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    want = {n: find(n) for n in list(parent)}
+    for limit in (100, 10**6):
+        got = {x.node: x.component for x in graph.components(edges, hub_edges=limit).collect()}
+        assert got == want
+    rows = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    least = rows.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    dealt, copies = graph._deal_hubs(rows, least, 100)
+    assert dealt.count() == rows.count() and dealt.groupBy("u", "_salt").count().agg(F.max("count")).first()[0] <= 200
+    assert dealt.join(copies, ["u", "_salt"]).count() == rows.count()
+
+
+def test_topk_pairs_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    vectors[40:60] = vectors[0]
+    rows = [(s, i, vectors[i].tolist()) for s, n in ((0, 300), (1, 30), (2, 1)) for i in range(n)]
+    desc = spark.createDataFrame(rows, "scene int, frame_id long, embedding array<double>")
+    got = {(x.scene, x.i, x["rank"]): (x.j, x.sim) for x in similarity.topk_similar(desc, 4, block=37).collect()}
+    want = {}
+    for scene, n in ((0, 300), (1, 30), (2, 1)):
+        sims = vectors[:n] @ vectors[:n].T
+        for i in range(n):
+            for place, j in enumerate(sorted((j for j in range(n) if j != i), key=lambda j: (-round(sims[i, j], 9), j))[:4]):
+                want[(scene, i, place + 1)] = (j, sims[i, j])
+    assert got.keys() == want.keys()
+    assert all(abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
