@@ -34,14 +34,15 @@ def register_pairs(
     cur_poses: DataFrame,
     q: float,
     by: Sequence[str],
-    method: str = "poses",
+    method: str | Callable[[DataFrame, list[str], DataFrame], DataFrame] = "poses",
 ) -> DataFrame:
     """Similarity that maps the current prediction onto the previous one, per group ``by``.
 
     Both sides share frames: pixels are (by, frame_id, v, u, x, y, z, conf) in camera coordinates,
     poses (by, frame_id, r, t) camera to world. Pixels confident on both sides give the robust
     scale; the poses give rotation and translation for that scale (``method='points'`` registers
-    the points instead).
+    the points instead). A function as ``method`` gets the pose pairs (by, frame_id, src_r, src_t, dst_r, dst_t),
+    ``by`` and the scales (by, scale), and returns (by, s, r, t, status).
     """
     by = list(by)
     keys = [*by, "frame_id", *PIXEL]
@@ -58,7 +59,7 @@ def register_pairs(
     both = cur_poses.select(*by, "frame_id", F.col("r").alias("src_r"), F.col("t").alias("src_t")).join(
         prev_poses.select(*by, "frame_id", F.col("r").alias("dst_r"), F.col("t").alias("dst_t")), [*by, "frame_id"]
     )
-    return METHODS[method](both, by, scales)
+    return (method if callable(method) else METHODS[method])(both, by, scales)
 
 
 def _tail(df: DataFrame, step: int) -> DataFrame:
@@ -71,7 +72,7 @@ def _head(df: DataFrame, overlap: int) -> DataFrame:
 
 
 def register_windows(
-    px: DataFrame, poses: DataFrame, size: int, overlap: int, q: float = 0.7, by: Sequence[str] = ("scene",), method: str = "poses"
+    px: DataFrame, poses: DataFrame, size: int, overlap: int, q: float = 0.7, by: Sequence[str] = ("scene",), method: str | Callable = "poses"
 ) -> DataFrame:
     """Relative similarity of every window to its predecessor: (scene, window_id, sim3, status).
 

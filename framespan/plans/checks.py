@@ -6,7 +6,7 @@ import importlib
 
 from framespan.plans.registry import ORACLES, QUERIES
 
-for _name in ("frames", "depth", "loops", "registration", "segments", "clouds", "cameras", "scenes", "missing", "sources"):
+for _name in ("frames", "depth", "loops", "registration", "segments", "clouds", "cameras", "scenes", "models", "missing", "sources"):
     importlib.import_module(f"framespan.plans.checks_{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

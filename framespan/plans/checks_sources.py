@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framespan.plans.registry import query, table
 from framespan.session import ensure_checkpoint_dir
-from framespan.sources import readers
+from framespan.sources import readers, writers
 
 
 def _folder(spark) -> str:
@@ -75,3 +75,33 @@ def scan_mvs_cameras(spark, sf):
     table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(path)
     out = readers.scan_mvs_cameras(spark, path, 0.5)
     return out.select(F.col("t")[0].alias("tx"), F.round(F.col("k")[0], 2).alias("fx"), "depth_min", "depth_interval", "depth_num", "depth_max")
+
+
+@query(
+    "scan_camera_lists",
+    """SELECT 'http://v/' || user_id AS url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, CAST(event_id AS BIGINT) AS ts,
+round(value, 2) AS fx, 0.25 AS cy, CAST(event_id % 9 AS DOUBLE) AS tx FROM events""",
+)
+def scan_camera_lists(spark, sf):
+    """A camera list per user: the address of the video, then a line per frame."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "value")
+    line = _text(F.col("event_id"), " ", F.format_string("%.2f", "value"), " 0.5 0.5 0.25 0 0 1 0 0 ", F.col("event_id") % 9, " 0 1 0 0 0 0 1 0")
+    heads = ev.select(F.col("user_id").alias("k"), F.lit(-1).cast("long").alias("at")).distinct().withColumn("value", _text("http://v/", F.col("k")))
+    rows = ev.select(F.col("user_id").alias("k"), F.col("event_id").cast("long").alias("at"), line.alias("value")).unionByName(heads)
+    path = _folder(spark)
+    rows.repartition("k").sortWithinPartitions("k", "at").select("k", "value").write.partitionBy("k").text(path)
+    out = readers.scan_camera_lists(spark, path)
+    return out.select("url", F.col("idx").cast("long").alias("idx"), "ts", F.round("fx", 2).alias("fx"), "cy", F.col("p")[3].alias("tx"))
+
+
+@query(
+    "append_metrics",
+    "SELECT s_name AS name, s_acctbal AS score, CASE WHEN s_nationkey % 2 = 1 THEN CAST(s_nationkey AS BIGINT) END AS nation FROM supplier",
+)
+def append_metrics(spark, sf):
+    """Two runs append to one table, the second with a column more."""
+    rows = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"), F.col("s_nationkey").cast("long").alias("nation"))
+    path = _folder(spark)
+    writers.append_metrics(rows.where("nation % 2 = 0").drop("nation"), path)
+    writers.append_metrics(rows.where("nation % 2 = 1"), path)
+    return writers.read_metrics(spark, path).select("name", "score", "nation")
