@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan.functions.columns import hash52
+from framespan.operators.joins import attach
 from framespan.operators.ranking import ranked, smallest_n
 
 
@@ -69,6 +70,18 @@ def as_map(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy("seq").agg(F.transform(pairs, lambda p: p["frame_id"]).alias("ids"))
 
 
+def query_first(chosen: DataFrame, query: DataFrame) -> DataFrame:
+    """(seq, frame_id, pos) with the query frame of each sequence at position 0 and the former first one in its place.
+
+    ``query`` has one (seq, index) per sequence. Sequences without one, or whose index names no
+    position, keep their order.
+    """
+    last = chosen.groupBy("seq").agg(F.max("pos").alias("_last")).join(query.select("seq", F.col("index").alias("_index")), "seq")
+    swaps = last.where(F.col("_index").between(0, F.col("_last"))).select("seq", "_index")
+    pos = F.when(F.col("pos") == F.col("_index"), 0).when(F.col("pos") == 0, F.col("_index")).otherwise(F.col("pos"))
+    return attach(chosen, swaps, ["seq"], how="left").select("seq", "frame_id", F.coalesce(F.when(F.col("_index").isNotNull(), pos), "pos").cast("long").alias("pos"))
+
+
 def select_frames(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     """Frames named by a sampling map (long form, or with an ``ids`` array)."""
     if "ids" in chosen.columns:

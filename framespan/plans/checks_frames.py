@@ -93,6 +93,18 @@ def sampling_map_stride_half(spark, sf):
     return S.sampling_map(_seq_frames(spark, sf), "stride-half", kf_every=5)
 
 
+@query(
+    "query_first",
+    f"""WITH {FRAMES_SQL}, n AS (SELECT scene, scene % 40 AS i, max(frame_id) AS last FROM frames GROUP BY scene)
+SELECT scene AS seq, frame_id, CASE WHEN scene % 3 = 0 OR i > last THEN frame_id WHEN frame_id = i THEN 0 WHEN frame_id = 0 THEN i ELSE frame_id END AS pos FROM frames JOIN n USING (scene)""",
+)
+def query_first(spark, sf):
+    """All frames, with a query frame first in two of three sequences."""
+    chosen = S.sampling_map(_seq_frames(spark, sf), "all")
+    index = chosen.select("seq").distinct().where("seq % 3 > 0").withColumn("index", (F.col("seq") % 40).cast("long"))
+    return S.query_first(chosen, index)
+
+
 @query(
     "sampling_map_random",
     f"""WITH {FRAMES_SQL}, h AS (
